@@ -21,5 +21,26 @@ def op3_syncmer_fingerprints(spark, sf_dir):
     return fingerprint_pairs(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_secret_scan, op3_syncmer_fingerprints)}
+def op1_kd_shards(spark, sf_dir):
+    from pyspark.sql import functions as F
+
+    from .sharding import kd_shards
+
+    placed = kd_shards(_table(spark, sf_dir, "documents"), 24)
+    return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+def op8_url_trees(spark, sf_dir):
+    from .urls import judge
+
+    return judge(_table(spark, sf_dir, "pages"))
+
+
+def op10_fair_mix(spark, sf_dir):
+    from .mixing import mix
+
+    return mix(_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+
+
+QUERIES = {f.__name__: f for f in (op1_kd_shards, op2_secret_scan, op3_syncmer_fingerprints, op8_url_trees, op10_fair_mix)}
 ORACLE_SQL: dict[str, str] = {}
