@@ -42,5 +42,20 @@ def op10_fair_mix(spark, sf_dir):
     return mix(_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
-QUERIES = {f.__name__: f for f in (op1_kd_shards, op2_secret_scan, op3_syncmer_fingerprints, op8_url_trees, op10_fair_mix)}
+def op7_minhash_neardup(spark, sf_dir):
+    from .neardup import near_duplicates
+
+    return near_duplicates(_table(spark, sf_dir, "documents"), percent=85)
+
+
+def op9_rans_tokens(spark, sf_dir):
+    from .rans import token_files
+
+    return token_files(_table(spark, sf_dir, "documents"))
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (op1_kd_shards, op2_secret_scan, op3_syncmer_fingerprints, op7_minhash_neardup, op8_url_trees, op9_rans_tokens, op10_fair_mix)
+}
 ORACLE_SQL: dict[str, str] = {}
