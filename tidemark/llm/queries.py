@@ -54,8 +54,34 @@ def op9_rans_tokens(spark, sf_dir):
     return token_files(_table(spark, sf_dir, "documents"))
 
 
+def op5_language_spans(spark, sf_dir):
+    from pyspark.sql import functions as F
+
+    from .language import held_out, identify, train
+
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    model = train(docs.where(~held_out(F.col("doc_id"))))
+    return identify(docs, model).select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score", "spans")
+
+
+def op6_decontaminate(spark, sf_dir):
+    from .decontaminate import contaminated
+
+    return contaminated(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 QUERIES = {
     f.__name__: f
-    for f in (op1_kd_shards, op2_secret_scan, op3_syncmer_fingerprints, op7_minhash_neardup, op8_url_trees, op9_rans_tokens, op10_fair_mix)
+    for f in (
+        op1_kd_shards,
+        op2_secret_scan,
+        op3_syncmer_fingerprints,
+        op5_language_spans,
+        op6_decontaminate,
+        op7_minhash_neardup,
+        op8_url_trees,
+        op9_rans_tokens,
+        op10_fair_mix,
+    )
 }
 ORACLE_SQL: dict[str, str] = {}
