@@ -34,3 +34,19 @@ def near_duplicates(rows, percent=85):
             x, y = find(a), find(b)
             root[max(x, y)] = min(x, y)
     return {i: (len(sets[i]), find(i)) for i in ids}
+
+
+def remove_repeats(rows, length=100):
+    """doc_id -> (n_bytes, n_removed, n_spans, kept bytes)."""
+    seen, out = set(), {}
+    for i, text in sorted(rows):
+        data = (text or "").encode()
+        gone = bytearray(len(data))
+        for s in range(len(data) - length + 1):
+            w = data[s : s + length]
+            if w in seen:
+                gone[s : s + length] = b"\1" * length
+            seen.add(w)
+        runs = sum(1 for j, g in enumerate(gone) if g and (j == 0 or not gone[j - 1]))
+        out[i] = (len(data), sum(gone), runs, bytes(b for b, g in zip(data, gone) if not g))
+    return out

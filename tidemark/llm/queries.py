@@ -70,12 +70,19 @@ def op6_decontaminate(spark, sf_dir):
     return contaminated(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def op4_suffix_dedup(spark, sf_dir):
+    from .suffixes import remove_repeats
+
+    return remove_repeats(_table(spark, sf_dir, "documents")).drop("removed")
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_kd_shards,
         op2_secret_scan,
         op3_syncmer_fingerprints,
+        op4_suffix_dedup,
         op5_language_spans,
         op6_decontaminate,
         op7_minhash_neardup,
