@@ -6,12 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .operators import market, measures  # noqa: F401  (they register relations)
+from .operators import market, measures, outcomes, quality, research  # noqa: F401  (they register relations)
 from .plans.relations import REGISTRY, oracle, spark_frame
 
 FLAGSHIP = "measures_volume"
 #: Relations that only feed others.
-INNER = {"ticks", "sessions", "membership", "excluded_windows", "bars", "referenced", "banded", "limited", "limits_all", "labels_dim", "labelled_bars", "guarded", "stage1", "stage2", "stage3", "panel_wide"}
+INNER = {"ticks", "sessions", "membership", "excluded_windows", "bars", "referenced", "banded", "limited", "limits_all", "labels_dim", "labelled_bars", "guarded", "stage1", "stage2", "stage3", "panel_wide", "walk", "walked", "decided_k3", "decided_k5", "gate_k3", "gate_k5", "masks", "trigger_bits", "bits_k3", "bits_k5", "base_cells", "fired", "trades", "encoded", "daily", "second_source"}
 NAMES = [n for n in REGISTRY if n not in INNER]
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {n: (lambda spark, sf_dir, n=n: spark_frame(spark, sf_dir, n)) for n in NAMES}
 ORACLE_SQL: dict[str, str] = {n: oracle(n) for n in NAMES}

@@ -12,6 +12,8 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..sources.shared import new_path
+
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events")
 
 #: The spellings that differ.
@@ -46,13 +48,13 @@ def _spell(sql: str, words: dict[str, str]) -> str:
     return sql
 
 
-def _chain(name: str) -> list[str]:
+def _chain(name: str, leaves=frozenset()) -> list[str]:
     order: list[str] = []
 
     def visit(n: str) -> None:
         if n in order or n in TABLES:
             return
-        for x in REGISTRY[n].needs:
+        for x in () if n in leaves else REGISTRY[n].needs:
             visit(x)
         order.append(n)
 
@@ -70,12 +72,31 @@ def oracle(name: str) -> str:
     return f"WITH {parts}\nSELECT * FROM {name}"
 
 
-def spark_sql(name: str, sf_dir: str) -> str:
-    names = _chain(name)
-    parts = [f"{t} AS (SELECT * FROM parquet.`{sf_dir}/{t}.parquet`)" for t in _tables(names)]
+#: Relations that Spark writes once to the shared folder and reads back: the stored panel and
+#: outcomes, on which everything downstream is planned afresh.
+STORED = {"bars", "stage3", "fingerprint_wide", "walk", "outcomes_k3", "outcomes_k5", "gate_k3", "fired", "hypothesis_stats"}
+_STORED: dict[tuple[str, str, str], str] = {}
+
+
+def _stored_path(spark: SparkSession, sf_dir: str, name: str) -> str:
+    key = (spark.sparkContext.applicationId, sf_dir, name)
+    if key not in _STORED:
+        path = new_path(spark, name)
+        spark.sql(spark_sql(name, sf_dir, spark)).write.parquet(path)
+        _STORED[key] = path
+    return _STORED[key]
+
+
+def spark_sql(name: str, sf_dir: str, spark: SparkSession | None = None) -> str:
+    """``spark``: store what is to be stored on the way; without it the text is one whole statement."""
+    stored = STORED - {name} if spark is not None else set()
+    names = _chain(name, stored)
+    parts = [f"{n} AS (SELECT * FROM parquet.`{_stored_path(spark, sf_dir, n)}`)" for n in names if n in stored]
+    names = [n for n in names if n not in stored]
+    parts += [f"{t} AS (SELECT * FROM parquet.`{sf_dir}/{t}.parquet`)" for t in _tables(names)]
     parts += [f"{n} AS ({_spell(REGISTRY[n].sql, SPARK)})" for n in names]
     return "WITH " + ",\n".join(parts) + f"\nSELECT * FROM {name}"
 
 
 def spark_frame(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.sql(spark_sql(name, sf_dir))
+    return spark.sql(spark_sql(name, sf_dir, spark))
