@@ -136,7 +136,7 @@ class Pieces(dict):
     vocabulary's own pattern.  Either way the library encodes the pieces.
     """
 
-    LIMIT = 300_000
+    LIMIT = 500_000
 
     def __init__(self, path: str, pattern: str):
         import regex
@@ -147,9 +147,12 @@ class Pieces(dict):
         self.double, self.split = re.compile(r"\s\s"), regex.compile(pattern).findall
 
     def __missing__(self, piece: str) -> bytes:
-        if len(self) > self.LIMIT:
-            self.clear()
-        got = self[piece] = self.whole(piece)
+        words = self.split(piece)
+        if len(words) > 1:  # words are far fewer than pieces with their marks
+            return b"".join([self[w] for w in words])
+        got = self.whole(piece)
+        if len(self) < self.LIMIT:
+            self[piece] = got
         return got
 
     def whole(self, text: str) -> bytes:
