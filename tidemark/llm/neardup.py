@@ -114,12 +114,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     reps = materialize(full.groupBy(*key).agg(F.min("doc_id").alias("rep"), F.first("sig").alias("sig")), "minhash-reps")
     t = agreement(percent / 100)
 
-    posts = reps.select("rep", F.posexplode("sig").alias("c", "v")).select("rep", (F.shiftleft(F.col("c").cast("long"), 32) + F.col("v").cast("long")).alias("key"))
+    posts = reps.select("rep", "n_shingles", F.posexplode("sig").alias("c", "v")).select("rep", "n_shingles", (F.shiftleft(F.col("c").cast("long"), 32) + F.col("v").cast("long")).alias("key"))
     shared = posts.groupBy("key").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
-    mine = posts.join(shared, "key").groupBy("rep").agg(F.array_sort(F.collect_list(F.struct("df", "key"))).alias("p"), F.sum(F.log2("df")).alias("score"))
+    mine = posts.join(shared, "key").groupBy("rep", F.col("n_shingles").alias("size")).agg(F.array_sort(F.collect_list(F.struct("df", "key"))).alias("p"), F.sum(F.log2("df")).alias("score"))
     lone = F.lit(K) - F.size("p")
     posts = materialize(
-        mine.select("rep", "score", F.explode(F.slice("p", 1, F.greatest(F.lit(K - t + 1) - lone, F.lit(0)))).alias("x")).select("rep", "score", "x.key"), "minhash-posts"
+        mine.select("rep", "size", "score", F.explode(F.slice("p", 1, F.greatest(F.lit(K - t + 1) - lone, F.lit(0)))).alias("x")).select("rep", "size", "score", "x.key"), "minhash-posts"
     )
     sigs = reps.select("rep", "sig", "n_shingles").join(posts.select("rep").distinct(), "rep", "left_semi")
     # the sets of what is posted at all; repeated rows of an id count once
@@ -139,7 +139,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     roots = links.select(F.col("a").alias("node"), F.col("b").alias("root"))
 
     def labelled() -> DataFrame:
-        return posts.join(roots, F.col("rep") == F.col("node"), "left").select("key", "rep", "score", F.coalesce("root", "rep").alias("comp"))
+        return posts.join(roots, F.col("rep") == F.col("node"), "left").select("key", "rep", "size", "score", F.coalesce("root", "rep").alias("comp"))
+
+    def near(x: str, y: str) -> str:
+        """Sets whose sizes differ more cannot reach the threshold."""
+        return f"100 * least({x}, {y}) >= {percent} * greatest({x}, {y})"
 
     def mixed(p: DataFrame) -> DataFrame:
         open_ = p.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("key")
@@ -150,15 +154,15 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         p = materialize(mixed(labelled()), "minhash-open")
         if p.isEmpty():
             break
-        heads = p.groupBy("key").agg(F.max(F.struct(order.alias("o"), F.col("rep"), F.col("comp"))).alias("h")).select("key", F.col("h.rep").alias("head"), F.col("h.comp").alias("headcomp"))
-        pairs = p.join(heads, "key").where("comp <> headcomp").select(F.col("rep").alias("a"), F.col("head").alias("b")).distinct()
+        heads = p.groupBy("key").agg(F.max(F.struct(order.alias("o"), F.col("rep"), F.col("comp"), F.col("size"))).alias("h")).select("key", F.col("h.rep").alias("head"), F.col("h.comp").alias("headcomp"), F.col("h.size").alias("headsize"))
+        pairs = p.join(heads, "key").where(f"comp <> headcomp and {near('size', 'headsize')}").select(F.col("rep").alias("a"), F.col("head").alias("b")).distinct()
         links = links.unionByName(materialize(confirm(pairs), "minhash-links"))
         roots = components(links)
     p = materialize(mixed(labelled()), "minhash-open")
     per = p.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("m"))
     main = per.groupBy("key").agg(F.max(F.struct("m", "comp")).alias("h")).select("key", F.col("h.comp").alias("main"))
-    minor = p.join(main, "key").where("comp <> main").select("key", F.col("rep").alias("a"), F.col("comp").alias("ca"))
-    rest = minor.join(p.select("key", F.col("rep").alias("b"), F.col("comp").alias("cb")), "key").where("ca <> cb").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    minor = p.join(main, "key").where("comp <> main").select("key", F.col("rep").alias("a"), F.col("comp").alias("ca"), F.col("size").alias("na"))
+    rest = minor.join(p.select("key", F.col("rep").alias("b"), F.col("comp").alias("cb"), F.col("size").alias("nb")), "key").where(f"ca <> cb and {near('na', 'nb')}").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     links = links.unionByName(materialize(confirm(rest), "minhash-links"))
     roots = components(links)
 
