@@ -3,8 +3,8 @@
 Training counts, by language, hashed byte grams of 2 to 4 bytes of lower-cased words with their edges and the scripts
 of letters.  A word's candidates are the languages that use its rarest script (at least ``SHARE`` of
 their letters in training); its score for each is the mean-scaled log probability of its grams.
-Viterbi labels every word at a cost of ``PENALTY`` for each switch.  Successive words that prefer the
-same language are one step: between switches a best path never changes inside them.  The document's
+Viterbi labels every word at a cost of ``PENALTY`` for each switch.  Successive words that put all
+languages in the same order are one step: a best path never switches inside them.  The document's
 language is the one with the most letters; ``score`` is its share of them.
 
 Texts that are null or have no letter are ``und`` with score 0.  Without training rows every other
@@ -97,9 +97,10 @@ class Model:
 def viterbi(score: np.ndarray, penalty: float = PENALTY) -> np.ndarray:
     """The label of each word."""
     best = score.argmax(axis=1)
-    cut = np.flatnonzero(np.append(True, best[1:] != best[:-1]))
-    if len(cut) == 1:
+    if (best == best[0]).all():
         return best
+    order = score.argsort(axis=1)
+    cut = np.flatnonzero(np.append(True, (order[1:] != order[:-1]).any(axis=1)))
     runs = np.add.reduceat(score, cut, axis=0).tolist()
     total, back = runs[0], []
     for run in runs[1:]:
