@@ -25,7 +25,7 @@ def block_hash(block) -> str:
 def write(df: DataFrame, path: str, manifest: dict) -> None:
     """One folder for each year; the manifest goes first and comes back last, so a torn write cannot be read."""
     spark = df.sparkSession
-    fs, p = _file(spark, f"{path}/_manifest.json")
+    fs, p = _file(spark, f"{path}/manifest.json")
     fs.delete(p, False)
     df.withColumn("year", F.year("trade_date")).repartition("year").sortWithinPartitions("symbol", "trade_date").write.mode("overwrite").partitionBy("year").parquet(f"{path}/values")
     stored = spark.read.parquet(f"{path}/values")
@@ -36,7 +36,7 @@ def write(df: DataFrame, path: str, manifest: dict) -> None:
 
 
 def read_manifest(spark: SparkSession, path: str) -> dict:
-    fs, p = _file(spark, f"{path}/_manifest.json")
+    fs, p = _file(spark, f"{path}/manifest.json")
     if not fs.exists(p):
         raise StaleStore(f"{path} has no manifest")
     return json.loads("\n".join(r["value"] for r in spark.read.text(p.toString()).collect()))
