@@ -28,16 +28,16 @@ relation(
     "membership",
     "part",
     """SELECT symbol, CASE WHEN b % 3 = 0 THEN 'HOSE' WHEN b % 3 = 1 THEN 'HNX' ELSE 'UPCOM' END AS exchange,
-    CASE WHEN b % 3 = 1 THEN DATE '2013-07-01' ELSE DATE '2010-01-01' END AS valid_from, CAST(NULL AS DATE) AS valid_to, 'kbs_listing' AS source
+    CASE WHEN b % 3 = 1 THEN DATE '2013-07-01' ELSE DATE '2010-01-01' END AS valid_from, CAST(NULL AS DATE) AS valid_to, 'listing' AS source
     FROM (SELECT DISTINCT p_brand AS symbol, CAST(substr(p_brand, 7) AS INT) AS b FROM part)
-    UNION ALL SELECT DISTINCT p_brand, 'HNX', DATE '2012-01-01', DATE '2014-06-30', 'cafef_transfer' FROM part WHERE CAST(substr(p_brand, 7) AS INT) % 6 = 3""",
+    UNION ALL SELECT DISTINCT p_brand, 'HNX', DATE '2012-01-01', DATE '2014-06-30', 'filed_transfer' FROM part WHERE CAST(substr(p_brand, 7) AS INT) % 6 = 3""",
 )
 relation(
     "exchange_in_force",
     "bars_ohlcv membership",
     """SELECT r.symbol, r.trade_date, coalesce(m.exchange, CASE WHEN r.b % 3 = 0 THEN 'HOSE' WHEN r.b % 3 = 1 THEN 'HNX' ELSE 'UPCOM' END) AS exchange, m.exchange IS NULL AS exchange_unknown
     FROM bars_ohlcv r LEFT JOIN (
-      SELECT x.symbol, x.trade_date, s.exchange, row_number() OVER (PARTITION BY x.symbol, x.trade_date ORDER BY CASE WHEN s.source = 'cafef_transfer' THEN 0 ELSE 1 END, s.valid_from) AS pick
+      SELECT x.symbol, x.trade_date, s.exchange, row_number() OVER (PARTITION BY x.symbol, x.trade_date ORDER BY CASE WHEN s.source = 'filed_transfer' THEN 0 ELSE 1 END, s.valid_from) AS pick
       FROM bars_ohlcv x JOIN membership s ON x.symbol = s.symbol AND x.trade_date >= s.valid_from AND (s.valid_to IS NULL OR x.trade_date <= s.valid_to)) m
     ON m.symbol = r.symbol AND m.trade_date = r.trade_date AND m.pick = 1""",
 )
