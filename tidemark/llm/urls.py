@@ -73,19 +73,22 @@ def train(labelled: DataFrame, rounds: int = 6, depth: int = 2, bins: int = 16,
     cuts = {f: sorted(set(q)) for f, q in zip(FEATURES, ends, strict=True)}
     mean = labelled.agg(F.avg("y").alias("m")).first()["m"]
     score = F.lit(math.log(mean / (1 - mean)))
+    cells = [
+        F.struct(F.lit(i).alias("f"), sum((F.when(F.col(f) > c, 1).otherwise(0) for c in cuts[f]), F.lit(0)).alias("b"))
+        for i, f in enumerate(FEATURES)
+        if cuts[f]
+    ]
+    if not cells:
+        return score
+    labelled = materialize(labelled.withColumn("_cells", F.array(*cells)).withColumn("_score", score), "url-train")
     for _ in range(rounds):
         node: Column = F.lit(1)
-        p = 1 / (1 + F.exp(-score))
+        p = 1 / (1 + F.exp(-F.col("_score")))
         base = labelled.withColumn("g", F.col("y") - p).withColumn("h", p * (1 - p))
         values: dict[int, float] = {}
         live = {1}
         for level in range(depth):
-            cells = [
-                F.struct(F.lit(i).alias("f"), sum((F.when(F.col(f) > c, 1).otherwise(0) for c in cuts[f]), F.lit(0)).alias("b"))
-                for i, f in enumerate(FEATURES)
-                if cuts[f]
-            ]
-            sums = base.withColumn("node", node).select("node", "g", "h", F.explode(F.array(*cells)).alias("x")).groupBy("node", "x.f", "x.b").agg(F.sum("g").alias("g"), F.sum("h").alias("h")).collect()
+            sums = base.withColumn("node", node).select("node", "g", "h", F.explode("_cells").alias("x")).groupBy("node", "x.f", "x.b").agg(F.sum("g").alias("g"), F.sum("h").alias("h")).collect()
             split: dict[int, tuple[str, float]] = {}
             for k in live:
                 mine = [r for r in sums if r["node"] == k]
@@ -117,6 +120,7 @@ def train(labelled: DataFrame, rounds: int = 6, depth: int = 2, bins: int = 16,
         for k, v in values.items():
             leaf = F.when(node == k, F.lit(float(v))).otherwise(leaf)
         score = score + leaf
+        labelled = materialize(labelled.withColumn("_score", F.col("_score") + leaf), "url-train")  # short expressions in each round
     return score
 
 
