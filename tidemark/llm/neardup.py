@@ -11,6 +11,9 @@ full: members outside a coordinate pair's largest component against all its memb
 must agree in ``t`` coordinates and are confirmed on full sets, so only links within one component
 are ever left out, and components are exact.
 
+Before the rounds, and again before the full join, sets that cannot link are skipped: too few of
+their shingles occur outside their own component.
+
 Null, empty and wordless texts have no shingles and no links.  Rows without an id form no links.
 Repeated rows of one id fall together.  Only the id and text columns are read.
 """
@@ -107,6 +110,7 @@ def agreement(threshold: float) -> int:
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5, percent: int = 80) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id (least id reachable), kept."""
     small_batches(docs.sparkSession)
+    tidy = docs.sparkSession.sparkContext._jvm.System.gc  # lets Spark drop shuffle files that nothing needs any more
     base = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text"))
     signed = materialize(_signatures(base, n), "minhash")
     full = signed.where("n_shingles > 0 and doc_id is not null")
@@ -135,6 +139,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         both = both.withColumn("i", F.size(F.array_intersect("xa", "xb")))
         return both.where(100 * F.col("i") >= percent * (F.col("na") + F.col("nb") - F.col("i"))).select("a", "b")
 
+    # a set links only if the threshold's share of its shingles occurs in others, too
+    alone = sets.select("doc_id", F.explode("shingles").alias("x")).groupBy("x").agg(F.min("doc_id").alias("_rep"), F.count(F.lit(1)).alias("df")).where("df = 1")
+    alone = alone.groupBy("_rep").agg(F.count(F.lit(1)).alias("m"))
+    apart = posts.join(alone, F.col("rep") == F.col("_rep"), "left").where(f"100 * (size - coalesce(m, 0)) >= {percent} * size")
+    posts = materialize(apart.drop("_rep", "m"), "minhash-posts")
+    tidy()
+
     links = materialize(posts.select(F.col("rep").alias("a"), F.col("rep").alias("b")).limit(0), "minhash-links")
     roots = links.select(F.col("a").alias("node"), F.col("b").alias("root"))
 
@@ -158,7 +169,14 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         pairs = p.join(heads, "key").where(f"comp <> headcomp and {near('size', 'headsize')}").select(F.col("rep").alias("a"), F.col("head").alias("b")).distinct()
         links = links.unionByName(materialize(confirm(pairs), "minhash-links"))
         roots = components(links)
+        tidy()
     p = materialize(mixed(labelled()), "minhash-open")
+    inside = p.select("rep", "comp", "size").distinct()
+    inside = sets.join(inside, F.col("doc_id") == F.col("rep")).select("rep", "comp", "size", F.explode("shingles").alias("x"))
+    outside = inside.groupBy("x").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("x")
+    able = inside.join(outside, "x", "left_semi").groupBy("rep", "size").agg(F.count(F.lit(1)).alias("m")).where(f"100 * m >= {percent} * size").select("rep")
+    p = materialize(p.join(able, "rep", "left_semi"), "minhash-able")
+    tidy()
     per = p.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("m"))
     main = per.groupBy("key").agg(F.max(F.struct("m", "comp")).alias("h")).select("key", F.col("h.comp").alias("main"))
     minor = p.join(main, "key").where("comp <> main").select("key", F.col("rep").alias("a"), F.col("comp").alias("ca"), F.col("size").alias("na"))
