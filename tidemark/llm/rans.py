@@ -16,6 +16,7 @@ from __future__ import annotations
 import re
 import struct
 import zlib
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -136,7 +137,7 @@ class Pieces(dict):
     vocabulary's own pattern.  Either way the library encodes the pieces.
     """
 
-    LIMIT = 500_000
+    LIMIT = 1_000_000
 
     def __init__(self, path: str, pattern: str):
         import regex
@@ -147,28 +148,35 @@ class Pieces(dict):
         self.double, self.split = re.compile(r"\s\s"), regex.compile(pattern).findall
 
     def __missing__(self, piece: str) -> bytes:
-        words = self.split(piece)
-        if len(words) > 1:  # words are far fewer than pieces with their marks
-            return b"".join([self[w] for w in words])
         got = self.whole(piece)
         if len(self) < self.LIMIT:
             self[piece] = got
         return got
 
     def whole(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        return struct.pack(f"<{len(ids)}I", *ids) if (ids := self.tokenizer.encode(text, add_special_tokens=False).ids) else b""
+
+    def doubled(self, text: str) -> bool:
+        """Whether white space follows white space; of printable characters, only the space is white."""
+        return "  " in text if text.isprintable() else self.double.search(text) is not None
 
     def encode(self, text: str) -> bytes:
         if not text:
             return b""
         if any(s in text for s in self.special):
             return self.whole(text)
-        if self.double.search(text):
+        if self.doubled(text):
             return b"".join([self[w] for w in self.split(text)])
         first, *rest = text.split(" ")
         return (self[first] if first else b"") + b"".join([self[" " + w] for w in rest])
 
 
+@lru_cache(maxsize=1)
+def pieces(path: str, pattern: str) -> Pieces:
+    """A worker keeps its memory from task to task."""
+    return Pieces(path, pattern)
+
+
 def _ordered(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     rows = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text"))
     return rows.repartitionByRange(partitions(docs.sparkSession), F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
@@ -182,10 +190,10 @@ def tokenize(docs: DataFrame, path: str, pattern: str, end_id: int | None = 2, i
     tail = b"" if end_id is None else struct.pack("<I", end_id)
 
     def run(batches):
-        pieces = Pieces(path, pattern)
+        known = pieces(path, pattern)
         for batch in batches:
             texts = batch.column(2).to_pylist()
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([pieces.encode(t or "") + tail for t in texts], pa.binary())], schema=arrow)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([known.encode(t or "") + tail for t in texts], pa.binary())], schema=arrow)
 
     rows = _ordered(docs, id_col, text_col).select(F.monotonically_increasing_id().alias("at"), "doc_id", "text")
     return rows.mapInArrow(run, schema)
