@@ -46,6 +46,12 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discard(df: DataFrame) -> None:
+    """Delete the files of a table that :func:`materialize` gave and nothing reads any more."""
+    for folder in {name.rpartition("/")[0] for name in df.inputFiles()}:
+        remove(df.sparkSession, folder)
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -8,7 +8,9 @@ drops out (prefix doubling with discarding):
    Equal windows have equal anchors, so windows whose anchor is unique in the corpus are unique and go.
 2. Successive windows with one anchor form a segment.  Of equal segments only the first can bring
    anything new: the others repeat it as a whole.  Segments alone under their anchor go too.
-3. The windows of the segments left are ranked by pairs: the ranks of their first and second ``L // 2``
+3. The segments left are cut, at places counted from their anchor, into blocks of ``STEP`` windows. All windows
+   of a block hold its core, so the core takes the anchor's part and step 2 is done again.
+4. The windows of the blocks left are ranked by pairs: the ranks of their first and second ``L // 2``
    bytes.  Spark groups equal pairs and gives each group its first position as the new rank, which
    reaches the threshold.  A window whose rank is not its own position repeats.
 
@@ -26,10 +28,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_schema, materialize, running_totals, small_batches, text_buffers
+from .common import arrow_schema, discard, materialize, running_totals, small_batches, text_buffers
 from .kernels import gram_hash, prefix_hash, sliding_min, span_hash
 
-L, GRAM, SHIFT = 100, 20, 27
+L, GRAM, STEP, SHIFT = 100, 20, 8, 27
 LIMIT = 1 << SHIFT
 
 
@@ -46,6 +48,30 @@ def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 def segments(data: np.ndarray, length: int = L) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Of one text: first and last window start of each segment, its anchor's hash and its own."""
     prefix = prefix_hash(data)
+    at, last, place, grams = _anchored(prefix, length)
+    return at, last, grams[place], span_hash(prefix, at, last + length)
+
+
+def blocks(data: np.ndarray, chosen: np.ndarray, length: int = L) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The same of the blocks in the segments that begin at ``chosen``; the core's hash is the anchor's."""
+    prefix = prefix_hash(data)
+    at, last, place, _ = _anchored(prefix, length)
+    mine = np.isin(at, chosen)
+    at, last, place = at[mine], last[mine], place[mine]
+    n = last - at + 1
+    origin = np.repeat(place - (length - GRAM), n)
+    start = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(at, n)
+    core = origin + (start - origin) // STEP * STEP
+    head = np.ones(len(start), bool)
+    head[1:] = (core[1:] != core[:-1]) | (origin[1:] != origin[:-1])
+    lo = np.flatnonzero(head)
+    hi = np.append(lo[1:] - 1, len(start) - 1)[: len(lo)]
+    first, final, core = start[lo], start[hi], core[lo]
+    return first, final, span_hash(prefix, core + STEP - 1, core + length), span_hash(prefix, first, final + length)
+
+
+def _anchored(prefix: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """First and last window start of each segment, its anchor's place, and the hashes of all grams."""
     grams = gram_hash(prefix, GRAM)
     w = length - GRAM + 1
     # the place in the low bits: of equal grams in one window the leftmost is the anchor
@@ -53,7 +79,7 @@ def segments(data: np.ndarray, length: int = L) -> tuple[np.ndarray, np.ndarray,
     least = sliding_min((grams & ~place) | np.arange(len(grams), dtype=np.uint64), w)
     at = np.flatnonzero(np.append(True, least[1:] != least[:-1]))
     last = np.append(at[1:] - 1, len(least) - 1)
-    return at, last, grams[(least[at] & place).astype(np.int64)], span_hash(prefix, at, last + length)
+    return at, last, (least[at] & place).astype(np.int64), grams
 
 
 def _texts(batch, column: int):
@@ -65,22 +91,25 @@ def _texts(batch, column: int):
 
 
 def _segment_rows(rows: DataFrame, length: int) -> DataFrame:
+    """Segments, or the blocks of ``spans`` where that column is there."""
+    cut = "spans" in rows.columns
     schema = "a long, h long, pos long, n int"
     arrow = arrow_schema(schema)
 
     def run(batches):
         for batch in batches:
             keys = batch.column(0).to_pylist()
+            spans = batch.column(2).to_pylist() if cut else None
             parts: list[tuple] = []
             for i, data in _texts(batch, 1):
                 if len(data) >= length:
-                    first, last, a, h = segments(data, length)
+                    first, last, a, h = blocks(data, np.array([s["o"] for s in spans[i]]), length) if cut else segments(data, length)
                     parts.append((a, h, (keys[i] << SHIFT) + first, last - first + 1))
             if parts:
                 a, h, pos, n = (np.concatenate(x) for x in zip(*parts, strict=True))
                 yield pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(h.view(np.int64)), pa.array(pos), pa.array(n.astype(np.int32))], schema=arrow)
 
-    return rows.select("key", "text").mapInArrow(run, schema)
+    return rows.select("key", "text", *["spans"] * cut).mapInArrow(run, schema)
 
 
 def _pairs(rows: DataFrame, length: int) -> DataFrame:
@@ -135,24 +164,32 @@ def remove_repeats(docs: DataFrame, length: int = L, id_col: str = "doc_id", tex
     small_batches(spark, 200)
     tidy = spark.sparkContext._jvm.System.gc  # lets Spark drop shuffle files that nothing needs any more
     rows = _keyed(docs, id_col, text_col)
-    every = materialize(_segment_rows(rows, length), "suffix-segments")
-    shared = every.groupBy("a").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("a")
-    again = materialize(every.join(shared, "a", "left_semi"), "suffix-shared")
-    tidy()
-    firsts = materialize(again.groupBy("a", "h", "n").agg(F.min("pos").alias("first")), "suffix-firsts")
-    whole = again.join(firsts, ["a", "h", "n"]).where("pos <> first").select("pos", "n")
-    several = firsts.groupBy("a").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("a")
-    left = firsts.join(several, "a", "left_semi")
 
     def by_doc(df: DataFrame) -> DataFrame:
         span = F.struct(F.col("pos").bitwiseAND(LIMIT - 1).cast("int").alias("o"), "n")
         return df.groupBy(F.shiftright("pos", SHIFT).alias("_key")).agg(F.collect_list(span).alias("spans"))
 
-    todo = by_doc(left.select(F.col("first").alias("pos"), "n"))
-    pairs = materialize(_pairs(rows.join(todo, F.col("key") == F.col("_key")), length), "suffix-pairs")
+    def sift(every: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """Runs of windows that repeat as a whole, and what may repeat in part (with its documents' texts)."""
+        shared = every.groupBy("a").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("a")
+        again = materialize(every.join(shared, "a", "left_semi"), "suffix-shared")
+        discard(every)
+        tidy()
+        firsts = materialize(again.groupBy("a", "h", "n").agg(F.min("pos").alias("first")), "suffix-firsts")
+        whole = materialize(again.join(firsts, ["a", "h", "n"]).where("pos <> first").select("pos", "n"), "suffix-whole")
+        discard(again)
+        several = firsts.groupBy("a").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("a")
+        left = materialize(by_doc(firsts.join(several, "a", "left_semi").select(F.col("first").alias("pos"), "n")), "suffix-left")
+        discard(firsts)
+        tidy()
+        return whole, rows.join(left, F.col("key") == F.col("_key"))
+
+    whole, left = sift(materialize(_segment_rows(rows, length), "suffix-segments"))
+    parts, left = sift(materialize(_segment_rows(left, length), "suffix-blocks"))
+    pairs = materialize(_pairs(left, length), "suffix-pairs")
     tidy()
     ranks = pairs.groupBy("r1", "r2").agg(F.min("pos").alias("rank"), F.count(F.lit(1)).alias("c")).where("c > 1").drop("c")
     repeated = pairs.join(ranks, ["r1", "r2"]).where("pos > rank").select("pos", F.lit(1).alias("n"))
-    spans = materialize(by_doc(whole.unionByName(repeated)), "suffix-spans")
+    spans = materialize(by_doc(whole.unionByName(parts).unionByName(repeated)), "suffix-spans")
     tidy()
     return _cut(rows.join(spans, F.col("key") == F.col("_key"), "left"), length)
