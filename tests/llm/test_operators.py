@@ -154,6 +154,26 @@ def test_decontaminate(spark, docs):
     assert decontaminate.contaminated(more, bench.limit(0)).count() == 0
 
 
+def test_decontaminate_finds_edited_copies(spark):
+    """Every 7th word changed: most of the item's grams occur nowhere, alone or beside an exact copy."""
+    item = text(8, 40)
+    edited = " ".join("other" if i % 7 == 6 else w for i, w in enumerate(item.split()))
+    bench = spark.createDataFrame([(1, item)], "item_id long, text string")
+    for rows in ([(1, edited)], [(1, edited), (2, item)], [(1, edited), (2, item), (3, item)]):
+        found = decontaminate.contaminated(spark.createDataFrame(rows, "doc_id long, text string"), bench).collect()
+        assert {r["doc_id"] for r in found} == {i for i, _ in rows}
+
+
+def test_decontaminate_passes_over_nothing_that_aligns():
+    rng = np.random.default_rng(6)
+    for _ in range(300):
+        item = rng.integers(0, 12, rng.integers(1, 30)).astype(np.uint64)
+        body = rng.integers(0, 14, 120).astype(np.uint64)
+        score = decontaminate.align(item, body)[0] / (2 * len(item))
+        for least in (0.3, 0.5, 0.8, score):
+            assert score < least or decontaminate._can_reach(item, body, least)
+
+
 def test_shards(docs, none, spark):
     many = spark.range(3000).selectExpr("id as doc_id", "case when id % 3 = 0 then 'same' else repeat(md5(cast(id as string)), 4) end as text", "'en' as lang", "case when id % 3 = 1 then 's' else cast(id % 7 as string) end as source")
     got = sharding.kd_shards(many, 6).toPandas()

@@ -1,12 +1,12 @@
-"""Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment.
+"""Benchmark decontamination: n-gram seeds, then Smith-Waterman alignment.
 
-Texts are compared as lower-cased words (maximal runs of letters and digits).  Seeds are the
-``N``-word grams of the benchmark items; how many documents hold each is counted over the whole
-corpus, and of each item's grams the rarer half is kept (ties with the commonest kept count too).
-A document that holds a kept seed of an item is aligned with it: matches score 2, mismatches and
-gaps -1, over the stretch of the document around each cluster of seeds.  The score is the share
-of the item's best possible score, so edited copies keep most of it.  Pairs that reach ``least``
-are contaminated.
+Texts are compared as lower-cased words (maximal runs of letters and digits).  Seeds are all
+``N``-word grams of the benchmark items, however common: which of an item's grams an edited copy
+keeps is not known beforehand.  A document that holds a seed of an item is aligned with it:
+matches score 2, mismatches and gaps -1, over the stretch of the document around each cluster of
+seeds.  Stretches are passed over only if too few of their words are the item's to reach
+``least`` at all.  The score is the share of the item's best possible score, so edited copies
+keep most of it.  Pairs that reach ``least`` are contaminated.
 
 The benchmark is split into blocks of at most ``BLOCK`` bytes, and each block is one pass over the
 documents: nothing larger is ever broadcast.  Null and empty texts and items match nothing;
@@ -78,9 +78,9 @@ def align(item: np.ndarray, text: np.ndarray) -> tuple[int, int, int]:
 
 
 class _Seeds:
-    def __init__(self, items: list[tuple[int, np.ndarray]], keep: dict[int, set] | None = None):
+    def __init__(self, items: list[tuple[int, np.ndarray]]):
         self.items = dict(items)
-        pairs = sorted({(int(g), i) for i, words in items for g in grams(words) if keep is None or int(g) in keep[i]})
+        pairs = sorted({(int(g), i) for i, words in items for g in grams(words)})
         self.gram = np.array([g for g, _ in pairs], np.uint64)
         self.item = np.array([i for _, i in pairs], np.int64)
         self.known = np.unique(self.gram)
@@ -105,30 +105,13 @@ def _blocks(batch):
         yield lo, part, at, hashed, starts, ends, first, found, doc
 
 
-def _rare(docs: DataFrame, seeds: _Seeds) -> dict[int, set]:
-    """For each item its rarer half of grams, by how many documents hold them."""
-    schema = "gram long, docs long"
-    arrow = arrow_schema(schema)
-
-    def run(batches):
-        total = np.zeros(len(seeds.known), np.int64)
-        for batch in batches:
-            for *_, found, doc in _blocks(batch):
-                at = seeds.find(found)
-                if len(at):
-                    pair = np.unique(np.column_stack([doc[at], np.searchsorted(seeds.known, found[at])]), axis=0)
-                    total += np.bincount(pair[:, 1], minlength=len(total))
-        used = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(seeds.known[used].view(np.int64)), pa.array(total[used])], schema=arrow)
-
-    counts = {r["gram"] & (2**64 - 1): r["n"] for r in docs.mapInArrow(run, schema).groupBy("gram").agg(F.sum("docs").alias("n")).collect()}
-    kept = {}
-    for i in seeds.items:
-        mine = sorted({int(g) for g in grams(seeds.items[i])})
-        by = sorted(counts.get(g, 0) for g in mine)
-        bar = by[(len(by) - 1) // 2] if by else 0
-        kept[i] = {g for g in mine if counts.get(g, 0) <= bar}
-    return kept
+def _can_reach(item: np.ndarray, text: np.ndarray, least: float) -> bool:
+    """Whether enough words of ``text`` are the item's: an alignment of score ``least`` or more has at most
+    ``len(item)`` matches, so its gaps leave it shorter than ``span``."""
+    span = int((3 - 2 * least) * len(item)) + 1
+    held = np.append(0, np.cumsum(np.isin(text, item)))
+    most = int((held[span:] - held[:-span]).max()) if len(text) > span else int(held[-1])
+    return most / len(item) >= least
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, least: float = LEAST, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -143,8 +126,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, least: float = LEAST, id
     held = 0
 
     def search(items):
-        kept = _rare(base, _Seeds(items))
-        seeds = _Seeds(items, kept)
+        seeds = _Seeds(items)
 
         def run(batches):
             for batch in batches:
@@ -173,9 +155,10 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, least: float = LEAST, id
                             while k + 1 < len(places) and places[k + 1] - places[k] <= reach:
                                 k += 1
                             a, b = max(lo_w, places[j] - reach), min(hi_w, places[k] + reach)
-                            got = align(item, hashed[a:b])
-                            if got[0] > best[0]:
-                                best, begin = got, a
+                            if _can_reach(item, hashed[a:b], least):
+                                got = align(item, hashed[a:b])
+                                if got[0] > best[0]:
+                                    best, begin = got, a
                             j = k + 1
                         score = best[0] / (2 * len(item))
                         if score >= least:
