@@ -70,6 +70,23 @@ def test_fingerprints(docs, none):
     assert syncmers.fingerprint_pairs(none).count() == 0
 
 
+@pytest.mark.parametrize("n", [1000, 5000, 20_000])
+def test_fingerprints_keep_passages_of_long_texts(spark, n):
+    """A 60-word passage in two otherwise different texts has its anchors in both fingerprints, on one diagonal."""
+    passage = text(30, 60)
+    pair = [f"{text(31 + 2 * k, n)} {passage} {text(32 + 2 * k, n)}" for k in range(2)]
+    lone = [t.replace(passage, text(40 + k, 60)) for k, t in enumerate(pair)]
+    a, b = (syncmers.anchors(t.encode()) for t in pair)
+    inside = set(syncmers.anchors(passage.encode())[0].tolist())
+    assert inside and inside <= set(a[0].tolist()) & set(b[0].tolist())
+    assert syncmers.likeness(a, b) * len(set(a[0].tolist()) | set(b[0].tolist())) >= len(inside)
+    got = {r["doc_id"]: r for r in syncmers.fingerprint_pairs(spark.createDataFrame([(2, pair[0]), (1, pair[1])], "doc_id long, text string")).collect()}
+    assert got[2]["near_next"] == syncmers.likeness(a, b) > syncmers.likeness(*(syncmers.anchors(t.encode()) for t in lone))
+    for i, mine in ((2, a), (1, b)):
+        assert got[i]["fingerprint"] == syncmers.to_hex(*mine)
+        assert set(mine[0].tolist()) == set(syncmers.syncmers(pair[2 - i].encode())[0].tolist())
+
+
 def test_suffixes(docs, none):
     got = {r["doc_id"]: r for r in suffixes.remove_repeats(docs).collect()}
     for i, (n, gone, runs, kept) in brute.remove_repeats([(i, t) for i, t, *_ in DOCS]).items():

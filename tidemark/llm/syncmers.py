@@ -2,9 +2,9 @@
 
 A window of ``K`` bytes is a closed syncmer if the least hash among its inner substrings of
 ``S`` bytes stands at its first or last place.  Whether it is chosen depends on its own bytes
-alone, so the same passage gives the same anchors in every document.  A fingerprint holds the
-``SIZE`` anchors of least hash with their byte positions, as hex: 10 digits of hash, 6 of
-position each.  Likeness compares two fingerprints as bottom samples of one union; shared anchors count
+alone, so the same passage gives the same anchors in every document.  A fingerprint holds all
+anchors of a text, by hash, with their byte positions, as hex: 10 digits of hash, 6 of position
+each.  Likeness is the share of both texts' anchors that they share; shared anchors count
 only if they lie on one diagonal (the commonest shift, within ``DRIFT`` bytes), so that a
 passage must keep its place to count.
 
@@ -24,7 +24,9 @@ from pyspark.sql import functions as F
 from .common import arrow_schema, partitions, small_batches
 from .kernels import gram_hash, prefix_hash, sliding_min
 
-K, S, SIZE, DRIFT = 24, 8, 32, 64
+K, S, DRIFT = 24, 8, 64
+#: Bytes of fingerprints that a worker holds before it passes rows on.
+HELD = 16 << 20
 _HASH_BITS, _WHERE = 40, 0xFFFFFF
 
 
@@ -44,15 +46,11 @@ def syncmers(data: bytes) -> tuple[np.ndarray, np.ndarray]:
     return gram_hash(prefix, K)[at] >> np.uint64(64 - _HASH_BITS), at
 
 
-def anchors(data: bytes, size: int = SIZE) -> tuple[np.ndarray, np.ndarray]:
-    """The ``size`` anchors of least hash; a hash that recurs keeps its first position."""
+def anchors(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """All anchors in order of their hash; a hash that recurs keeps its first position."""
     h, at = syncmers(data)
-    if len(h) > 8 * size:
-        keep = h <= np.partition(h, 4 * size)[4 * size]
-        if len(np.unique(h[keep])) >= size:
-            h, at = h[keep], at[keep]
     h, first = np.unique(h, return_index=True)
-    return h[:size], at[first[:size]]
+    return h, at[first]
 
 
 def to_hex(h: np.ndarray, at: np.ndarray) -> str:
@@ -65,21 +63,19 @@ def from_hex(text: str) -> tuple[np.ndarray, np.ndarray]:
     return packed >> np.uint64(24), (packed & np.uint64(_WHERE)).astype(np.int64)
 
 
-def likeness(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray], size: int = SIZE) -> float:
-    """Share of the union's ``size`` least anchors that both hold, in place."""
+def likeness(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> float:
+    """Share of the union's anchors that both hold, in place."""
     (ha, pa_), (hb, pb) = a, b
     if len(ha) == len(hb) and (ha == hb).all() and (pa_ == pb).all():
         return 1.0
     if not len(ha) or not len(hb):
         return 0.0
-    union = np.union1d(ha, hb)[:size]
     both, ia, ib = np.intersect1d(ha, hb, assume_unique=True, return_indices=True)
-    use = both <= union[-1]
-    if not use.any():
+    if not len(both):
         return 0.0
-    shift = np.sort((pb[ib] - pa_[ia])[use])
+    shift = np.sort(pb[ib] - pa_[ia])
     on_line = np.searchsorted(shift, shift + DRIFT, side="right") - np.arange(len(shift))
-    return float(on_line.max()) / len(union)
+    return float(on_line.max()) / (len(ha) + len(hb) - len(both))
 
 
 def edited(text: str, following: str) -> str:
@@ -133,9 +129,14 @@ def fingerprint_pairs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
 
     def run(batches):
         out: list[tuple] = []
+        size = 0
         held = None  # (part, id, text, anchors) that waits for the document after it
 
+        def rows():
+            return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), arrow, strict=True)], schema=arrow)
+
         def close(nxt_text, nxt_anchors):
+            nonlocal size
             _, doc, text, mine = held
             new = edited(text, nxt_text)
             data = new.encode()
@@ -143,6 +144,7 @@ def fingerprint_pairs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
             out.append(
                 (doc, len(text), hashlib.sha256(data).hexdigest(), to_hex(*mine), to_hex(*other), likeness(mine, other), likeness(mine, nxt_anchors))
             )
+            size += 16 * (len(mine[0]) + len(other[0]))
 
         for batch in batches:
             for doc, text, part, halo in zip(*[c.to_pylist() for c in batch.columns], strict=True):
@@ -153,8 +155,13 @@ def fingerprint_pairs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
                 if held is not None:
                     close(text, mine)
                 held = None if halo else (part, doc, text, mine)
+                if size >= HELD:
+                    yield rows()
+                    out.clear()
+                    size = 0
             if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), arrow, strict=True)], schema=arrow)
+                yield rows()
                 out.clear()
+                size = 0
 
     return with_next(docs, id_col, text_col).mapInArrow(run, schema)
