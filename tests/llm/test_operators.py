@@ -181,6 +181,33 @@ def test_decontaminate_finds_edited_copies(spark):
         assert {r["doc_id"] for r in found} == {i for i, _ in rows}
 
 
+def test_decontaminate_finds_short_and_unspaced_items(spark):
+    items = [(1, "zyzzyva"), (2, "Zoë naïve"), (3, "one two three"), (4, "猫が好きです。"), (5, "答"), (6, "กข")]
+    rows = [
+        (1, "w1 w2 zyzzyva w3 w4 w5"),
+        (2, "w1 w2 w3 “zoë naïve” w4"),
+        (3, "w1, one two three; w4 w5"),
+        (4, "昨日私は友達と猫が好きですと話しました"),
+        (5, "これは答である"),
+        (6, "zyzzyva"),
+        (7, "one two"),
+        (8, "กขค"),
+        (9, "one three two"),
+    ]
+    found = decontaminate.contaminated(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert {(r["doc_id"], r["item_id"]) for r in found} == {(1, 1), (2, 2), (3, 3), (4, 4), (5, 5), (6, 1), (8, 6)}
+    assert len(found) == 7
+    assert {r["item_id"]: r["passage"] for r in found} == {1: "zyzzyva", 2: "zoë naïve", 3: "one two three", 4: "猫が好きです", 5: "答", 6: "กข"}
+
+
+def test_words_of_all_scripts():
+    for t in ("", "a", "日", "Zoë—naïve 日本語、です “x” 1,5 😀😀 한국어 사람", "é" * 3 + "猫" + "é"):
+        raw = np.frombuffer(t.encode(), np.uint8)
+        _, starts, ends, first = decontaminate._words(raw, np.array([0, len(raw)]))
+        want = {"": [], "a": ["a"], "日": ["日"], "ééé猫é": ["ééé", "猫", "é"]}.get(t, ["Zoë", "naïve", *"日本語です", "x", "1", "5", "😀", "😀", "한국어", "사람"])
+        assert [raw[a:b].tobytes().decode() for a, b in zip(starts, ends, strict=True)] == want and first.tolist() == [0, len(want)]
+
+
 def test_decontaminate_passes_over_nothing_that_aligns():
     rng = np.random.default_rng(6)
     for _ in range(300):

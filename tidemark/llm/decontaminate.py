@@ -1,20 +1,25 @@
 """Benchmark decontamination: n-gram seeds, then Smith-Waterman alignment.
 
-Texts are compared as lower-cased words (maximal runs of letters and digits).  Seeds are all
+Texts are compared as lower-cased words (maximal runs of letters and digits); every character of a
+script written without spaces, and every symbol beyond ASCII, is a word of its own.  Seeds are all
 ``N``-word grams of the benchmark items, however common: which of an item's grams an edited copy
-keeps is not known beforehand.  A document that holds a seed of an item is aligned with it:
+keeps is not known beforehand.  An item of fewer than ``N`` words is one seed, which documents are
+searched for at its own length.  A document that holds a seed of an item is aligned with it:
 matches score 2, mismatches and gaps -1, over the stretch of the document around each cluster of
 seeds.  Stretches are passed over only if too few of their words are the item's to reach
 ``least`` at all.  The score is the share of the item's best possible score, so edited copies
 keep most of it.  Pairs that reach ``least`` are contaminated.
 
 The benchmark is split into blocks of at most ``BLOCK`` bytes, and each block is one pass over the
-documents: nothing larger is ever broadcast.  Null and empty texts and items match nothing;
-items of fewer than ``N`` words are one seed.  Rows without an id keep it null.
+documents: nothing larger is ever broadcast.  Null and empty texts and items match nothing.
+Rows without an id keep it null.
 """
 
 from __future__ import annotations
 
+import functools
+import unicodedata
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -27,13 +32,50 @@ N, LEAST, BLOCK = 4, 0.5, 4 << 20
 WORD = np.zeros(256, bool)
 WORD[48:58] = WORD[65:91] = WORD[97:123] = True
 WORD[128:] = True
+#: Letters of scripts written without spaces: Thai to Lao, Burmese, Khmer, Tai, Han with kana and bopomofo.
+UNSPACED = ((0xE00, 0xEFF), (0x1000, 0x109F), (0x1780, 0x17FF), (0x1950, 0x19DF), (0x1A20, 0x1AAF), (0x2E80, 0x312F), (0x31A0, 0x31BF), (0x31F0, 0x31FF), (0x3400, 0x9FFF), (0xA9E0, 0xA9FF), (0xAA60, 0xAA7F), (0xF900, 0xFAFF), (0xFF66, 0xFF9F), (0x1AFF0, 0x1B16F), (0x20000, 0x3FFFF))
+
+
+@functools.cache
+def _kinds() -> np.ndarray:
+    """For each code point: 0 stands between words, 1 is part of a word, 2 is a word of its own."""
+    kind = np.ones(0x110000, np.uint8)
+    for lo, hi in UNSPACED:
+        kind[lo : hi + 1] = 2
+    for c in range(0x20000):
+        cat = unicodedata.category(chr(c))
+        if cat[0] in "PZ" or cat == "Cc" or c in (0x200B, 0x2060, 0xFEFF):
+            kind[c] = 0
+        elif cat[0] == "S":
+            kind[c] = 2
+    return kind
+
+
+def _kind_of_bytes(data: np.ndarray) -> np.ndarray:
+    kind = WORD[data].astype(np.uint8)
+    lead = np.flatnonzero(data >= 0xC0)
+    if len(lead):
+        wide = np.append(data, np.zeros(3, np.uint8)).astype(np.int64)
+        b, length = wide[lead], 2 + (data[lead] >= 0xE0) + (data[lead] >= 0xF0)
+        point = b & (0xFF >> (length + 1))
+        for j in range(1, 4):
+            point = np.where(length > j, (point << 6) | (wide[lead + np.minimum(j, length - 1)] & 63), point)
+        found = _kinds()[np.minimum(point, 0x10FFFF)]
+        for j in range(4):
+            at = lead[length > j] + j
+            inside = at < len(data)
+            kind[at[inside]] = found[length > j][inside]
+    return kind
 
 
 def _words(data: np.ndarray, off: np.ndarray):
     """Hash of every word and how many words precede each text, with starts and ends."""
-    solid = np.append(WORD[data], False)
+    kind = _kind_of_bytes(data)
+    solid = np.append(kind > 0, False)
     edge = np.zeros(len(data) + 1, bool)
     edge[off] = True
+    single = kind == 2
+    edge[:-1] |= (single | np.append(False, single[:-1])[: len(data)]) & ((data & 0xC0) != 0x80)
     prev = np.append(False, solid[:-1])
     starts = np.flatnonzero(solid & (~prev | edge))
     ends = np.flatnonzero(prev & (~solid | edge))
@@ -80,6 +122,7 @@ def align(item: np.ndarray, text: np.ndarray) -> tuple[int, int, int]:
 class _Seeds:
     def __init__(self, items: list[tuple[int, np.ndarray]]):
         self.items = dict(items)
+        self.sizes = sorted({min(N, len(words)) for _, words in items})
         pairs = sorted({(int(g), i) for i, words in items for g in grams(words)})
         self.gram = np.array([g for g, _ in pairs], np.uint64)
         self.item = np.array([i for _, i in pairs], np.int64)
@@ -101,8 +144,7 @@ def _blocks(batch):
     for lo, hi in row_blocks(off, 1 << 19):
         part, at = data[off[lo] : off[hi]], off[lo : hi + 1] - off[lo]
         hashed, starts, ends, first = _words(part, at)
-        found, doc = shingles(hashed, first, N)
-        yield lo, part, at, hashed, starts, ends, first, found, doc
+        yield lo, part, at, hashed, starts, ends, first
 
 
 def _can_reach(item: np.ndarray, text: np.ndarray, least: float) -> bool:
@@ -132,18 +174,18 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, least: float = LEAST, id
             for batch in batches:
                 ids = batch.column(0).to_pylist()
                 rows: list[tuple] = []
-                for lo, part, off, hashed, starts, ends, first, found, doc in _blocks(batch):
-                    at = seeds.find(found)
-                    if not len(at):
-                        continue
-                    # words where each seed stands, then the items that it belongs to
-                    base_of = np.searchsorted(doc, doc[at])
-                    word = first[doc[at]] + at - base_of
-                    left, right = np.searchsorted(seeds.gram, found[at], "left"), np.searchsorted(seeds.gram, found[at], "right")
+                for lo, part, off, hashed, starts, ends, first in _blocks(batch):
                     pairs: dict[tuple[int, int], list[int]] = {}
-                    for d, w, a, b in zip(doc[at].tolist(), word.tolist(), left.tolist(), right.tolist(), strict=True):
-                        for i in seeds.item[a:b].tolist():
-                            pairs.setdefault((d, i), []).append(w)
+                    for n in seeds.sizes:
+                        found, doc = shingles(hashed, first, n)
+                        at = seeds.find(found)
+                        # words where each seed stands, then the items that it belongs to
+                        word = first[doc[at]] + at - np.searchsorted(doc, doc[at])
+                        left, right = np.searchsorted(seeds.gram, found[at], "left"), np.searchsorted(seeds.gram, found[at], "right")
+                        for d, w, a, b in zip(doc[at].tolist(), word.tolist(), left.tolist(), right.tolist(), strict=True):
+                            if w + n <= first[d + 1]:  # a shorter text gives the hash of all its words
+                                for i in seeds.item[a:b].tolist():
+                                    pairs.setdefault((d, i), []).append(w)
                     for (d, i), places in pairs.items():
                         item = seeds.items[i]
                         reach = 2 * len(item) + 8
