@@ -1,7 +1,8 @@
 """A training corpus from ``documents``: language ID, near-dedup, decontamination, mixing, token files.
 
 Each stage takes what its predecessor kept, as ``(spark, docs, sf_dir)``; all but the last return
-the columns of ``documents``.
+the columns of ``documents``.  A stage decides on rows, by a key of its own where ids are missing or
+repeat, so that no document goes for its id.
 """
 
 from __future__ import annotations
@@ -10,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm import decontaminate, language, mixing, neardup, rans
-from tidemark.llm.common import materialize
+from tidemark.llm.common import materialize, partitions
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 #: Documents whose language covers less of their letters than this are rejected.
@@ -21,29 +22,43 @@ def _documents(docs: DataFrame) -> DataFrame:
     return docs.select(*COLUMNS)
 
 
+def _keyed(docs: DataFrame) -> DataFrame:
+    """With ``_key``, which no two rows share: the id where it is one, else the place in the order of ids (missing ones last)."""
+    docs = _documents(docs)
+    s = docs.agg(F.count(F.lit(1)).alias("n"), F.count_distinct("doc_id").alias("d")).first()
+    if s["n"] == s["d"]:
+        return docs.withColumn("_key", F.col("doc_id").cast("long"))
+    order = [F.col("doc_id").asc_nulls_last(), F.xxhash64("text", "lang", "source")]
+    placed = docs.repartitionByRange(partitions(docs.sparkSession), *order).sortWithinPartitions(*order)
+    return materialize(placed.withColumn("_key", F.monotonically_increasing_id()), "stage-keys")
+
+
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a letter (``und``) or without a main language go."""
     model = language.train(docs.select("doc_id", "text", "lang").where(~language.held_out(F.col("doc_id"))))
-    found = language.identify(docs, model, spans=False)
-    good = found.where((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SCORE)).select(F.col("doc_id").alias("_good")).distinct()
-    return _documents(docs.join(good, docs["doc_id"] == F.col("_good"), "left_semi"))
+    rows = _keyed(docs)
+    found = language.identify(rows, model, id_col="_key", spans=False)
+    good = found.where((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SCORE)).select(F.col("doc_id").alias("_good"))
+    return _documents(rows.join(good, rows["_key"] == F.col("_good"), "left_semi"))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies (five words, 0.8) the smallest id stays; of repeated ids one row."""
-    kept = neardup.near_duplicates(docs, percent=80).where("kept").select(F.col("doc_id").alias("_kept")).distinct()
-    return _documents(docs.join(kept, docs["doc_id"] == F.col("_kept"), "left_semi").dropDuplicates(["doc_id"]))
+    """Of each group of near copies (five words, 0.8) the one with the smallest id stays."""
+    rows = _keyed(docs)
+    kept = neardup.near_duplicates(rows, id_col="_key", percent=80).where("kept").select(F.col("doc_id").alias("_kept"))
+    return _documents(rows.join(kept, rows["_key"] == F.col("_kept"), "left_semi"))
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a passage of ``benchmark`` go."""
-    return _documents(decontaminate.clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")))
+    return _documents(decontaminate.clean(_keyed(docs), spark.read.parquet(f"{sf_dir}/benchmark.parquet"), id_col="_key"))
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the mix takes, as often as it takes them."""
-    taken = mixing.mix(docs).where("passes > 0").select(F.col("doc_id").alias("_doc"), "passes")
-    out = docs.join(taken, docs["doc_id"] == F.col("_doc"))
+    rows = _keyed(docs)
+    taken = mixing.mix(rows.withColumn("doc_id", F.col("_key"))).where("passes > 0").select(F.col("doc_id").alias("_doc"), "passes")
+    out = rows.join(taken, rows["_key"] == F.col("_doc"))
     return _documents(out.withColumn("_copy", F.explode(F.sequence(F.lit(1), "passes"))))
 
 

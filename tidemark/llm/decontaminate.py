@@ -227,7 +227,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, least: float = LEAST, id
     return out
 
 
-def clean(docs: DataFrame, benchmark: DataFrame, least: float = LEAST) -> DataFrame:
+def clean(docs: DataFrame, benchmark: DataFrame, least: float = LEAST, id_col: str = "doc_id") -> DataFrame:
     """``docs`` without the documents that hold a benchmark passage."""
-    bad = contaminated(docs, benchmark, least).select(F.col("doc_id").alias("_bad")).distinct()
-    return docs.join(bad, docs["doc_id"] == F.col("_bad"), "left_anti")
+    bad = contaminated(docs, benchmark, least, id_col).select(F.col("doc_id").alias("_bad")).distinct()
+    return docs.join(bad, docs[id_col] == F.col("_bad"), "left_anti")
