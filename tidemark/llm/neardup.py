@@ -1,21 +1,30 @@
 """MinHash near-dedup by a signature-coordinate inverted join.
 
-Texts become sets of hashed word shingles; equal sets are collapsed first.  Each distinct set is
-posted under its ``K`` (coordinate, value) pairs.  Pairs that only one set has are skipped, and
-of the rest a set keeps the rarest: two sets that agree in ``t`` coordinates must share one of
-the ``K - t + 1`` rarest of either (prefix filtering; ``t`` lies 6.5 standard deviations below
-the agreement expected at the threshold).  Within a coordinate pair no pairs of a whole group are
-made: each round links the members to one leader, merges what is confirmed, and skips coordinate
-pairs whose members are already one component.  After the rounds, what still differs is joined in
-full: members outside a coordinate pair's largest component against all its members.  Candidates
-must agree in ``t`` coordinates and are confirmed on full sets, so only links within one component
-are ever left out, and components are exact.
-
-Before the rounds, and again before the full join, sets that cannot link are skipped: too few of
-their shingles occur outside their own component.
+1. Texts become sets of hashed word shingles; equal sets are one set from here on.
+2. Each set is posted under its ``K`` (coordinate, value) pairs.  Pairs that only one set has are
+   skipped.  Two linked sets agree in ``t`` coordinates at least (6.5 standard deviations below the
+   agreement expected at the threshold), so a set with fewer shared pairs is out, and of the others
+   the ``K - t + 1`` rarest pairs meet at least once (prefix).
+3. Of the posted sets the shingles are counted: a set most of whose shingles are nobody else's
+   cannot reach the threshold and goes.  Only shingles of two sets or more are kept, with the level
+   of their count in the high bits.
+4. Posting lists are not paired.  Every list has a leader, the set with the most company; members
+   are compared with it once, however many lists they share.  A member differs from the leader's
+   shared shingles ``P`` by ``m`` that it lacks and ``o`` that it adds.  Two members whose
+   differences have nothing in common are linked if and only if ``cost_a + cost_b <= W``, where
+   ``cost = 100 m + percent o`` and ``W = (100 - percent) |P|``; whoever fits that with the cheapest
+   member is linked to it, which joins all such pairs.
+5. What is left are pairs that share a difference.  ``(100 + percent) * shared >= cost_a + cost_b - W``
+   bounds how many they must share, so differences are posted by prefix again, rarest first, and
+   pairs meet only if both have enough that others share.  These candidates are confirmed on the sets.
+
+Lists of near copies grow with their group, and so do the rows made here, but not with its square:
+near copies differ from their leader each in its own way.  Hot lists and leaders are dealt over
+salted parts.  Components of the links are found by alternating stars.
 
 Null, empty and wordless texts have no shingles and no links.  Rows without an id form no links.
-Repeated rows of one id fall together.  Only the id and text columns are read.
+Equal texts fall together whatever their ids; rows of one id with different texts are judged each
+by its own text.  Only the id and text columns are read.
 """
 
 from __future__ import annotations
@@ -24,15 +33,21 @@ import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_schema, materialize, row_blocks, small_batches, text_buffers
+from .common import arrow_schema, discard, materialize, partitions, row_blocks, small_batches, text_buffers
 from .kernels import COEF_LOWER, _splitmix, mix, prefix_hash, shingles, span_hash, words
 
 K = 64
 _A = _splitmix(K, 101) | np.uint64(1)
 _B = _splitmix(K, 202)
+#: Members of a list or a leader that one salted part takes.
+PART = 4096
+#: Set numbers that may be broadcast.
+FEW = 1_000_000
+#: Bits of a shingle's hash below the level of its count.
+LEVEL = 56
 
 
 def shingle_sets(batch_column: pa.Array, n: int = 5):
@@ -57,30 +72,45 @@ def signature(found: np.ndarray) -> np.ndarray:
     return least.astype(np.uint32)
 
 
+def _sums(found: np.ndarray) -> tuple[int, int, int]:
+    """What names a set: its size and two sums over its hashes."""
+    if not len(found):
+        return 0, 0, 0
+    return len(found), int(found.sum(dtype=np.uint64).view(np.int64)), int(mix(found ^ np.uint64(0x5BD1E995)).sum(dtype=np.uint64).view(np.int64))
+
+
 def _signatures(docs: DataFrame, n: int) -> DataFrame:
     schema = "doc_id long, n_shingles long, s1 long, s2 long, sig array<int>"
     arrow = arrow_schema(schema)
 
     def run(batches):
         for batch in batches:
-            size, s1, s2, sig = [], [], [], []
-            for found in shingle_sets(batch.column(1), n):
-                size.append(len(found))
-                s1.append(int(found.sum(dtype=np.uint64).view(np.int64)) if len(found) else 0)
-                s2.append(int(mix(found ^ np.uint64(0x5BD1E995)).sum(dtype=np.uint64).view(np.int64)) if len(found) else 0)
-                sig.append(signature(found).view(np.int32) if len(found) else None)
-            yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(x, f.type) for x, f in zip((size, s1, s2, sig), list(arrow)[1:], strict=True)]], schema=arrow)
+            rows = [(*_sums(found), signature(found).view(np.int32) if len(found) else None) for found in shingle_sets(batch.column(1), n)]
+            cols = list(zip(*rows, strict=True)) if rows else [[]] * 4
+            yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(x, f.type) for x, f in zip(cols, list(arrow)[1:], strict=True)]], schema=arrow)
 
     return docs.mapInArrow(run, schema)
 
 
 def _full_sets(docs: DataFrame, n: int) -> DataFrame:
-    schema = "doc_id long, shingles array<long>"
+    schema = "doc_id long, n_shingles long, s1 long, s2 long, shingles array<long>"
     arrow = arrow_schema(schema)
 
     def run(batches):
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x.view(np.int64) for x in shingle_sets(batch.column(1), n)], arrow.field(1).type)], schema=arrow)
+            ids, rows, held = batch.column(0).to_pylist(), [], 0
+
+            def flush():
+                return pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*rows, strict=True), arrow, strict=True)], schema=arrow)
+
+            for doc, found in zip(ids, shingle_sets(batch.column(1), n), strict=True):
+                rows.append((doc, *_sums(found), found.view(np.int64)))
+                held += len(found)
+                if held > 1 << 19:
+                    yield flush()
+                    rows, held = [], 0
+            if rows:
+                yield flush()
 
     return docs.mapInArrow(run, schema)
 
@@ -96,7 +126,8 @@ def components(edges: DataFrame, tag: str = "component") -> DataFrame:
         low = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(low, "a")
         small = small.select(F.when(F.col("b") == F.col("m"), F.col("a")).otherwise(F.col("b")).alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
-        e = materialize(small, tag)
+        was, e = e, materialize(small, tag)
+        discard(was)
         now = tuple(e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
         if now == before:
             return e.select(F.col("a").alias("node"), F.col("b").alias("root"))
@@ -107,88 +138,112 @@ def agreement(threshold: float) -> int:
     return max(1, int(K * threshold - 6.5 * math.sqrt(K * threshold * (1 - threshold))))
 
 
+def _salted(rows: DataFrame, one: DataFrame, key: str, by: str, count: str) -> DataFrame:
+    """``rows`` joined with ``one`` row for each ``key``, whose ``count`` says over how many parts it is dealt by ``by``."""
+    parts = lambda c: F.floor(F.col(c) / PART).cast("int") + 1
+    one = one.withColumn("_salt", F.explode(F.sequence(F.lit(0), parts(count) - 1))).drop(count)
+    rows = rows.withColumn("_salt", F.pmod(F.xxhash64(by), parts(count)).cast("int"))
+    return rows.join(one, [key, "_salt"]).drop("_salt")
+
+
+def _posts(reps: DataFrame, t: int) -> DataFrame:
+    """``rep, key, df, score``: the rarest shared coordinate values of every set that shares ``t`` or more."""
+    n = partitions(reps.sparkSession)
+    every = reps.select("rep", F.posexplode("sig").alias("c", "v")).select("rep", (F.shiftleft(F.col("c").cast("long"), 32) + F.col("v").cast("long")).alias("key")).repartition(n, "key")
+    shared = every.groupBy("key").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
+    mine = every.join(shared, "key").groupBy("rep").agg(F.array_sort(F.collect_list(F.struct("df", "key"))).alias("p"), F.sum(F.log2("df")).alias("score"))
+    rarest = F.slice("p", 1, F.greatest(F.size("p") - (t - 1), F.lit(0)))
+    return mine.select("rep", "score", F.explode(rarest).alias("x")).select("rep", "score", "x.key", "x.df")
+
+
+def _shared_shingles(docs: DataFrame, posted: DataFrame, n: int, percent: int) -> DataFrame:
+    """``rep, size, ys``: of the sets that can link at all, the shingles that other sets have too."""
+    key = ["n_shingles", "s1", "s2"]
+    ids = materialize(posted.select("least").distinct(), "minhash-ids")
+    few = F.broadcast(ids) if ids.count() <= FEW else ids
+    texts = docs.join(few, F.col("doc_id") == F.col("least"), "left_semi")
+    sets = _full_sets(texts, n).join(posted.select("rep", *key), key).groupBy("rep", F.col("n_shingles").alias("size")).agg(F.first("shingles").alias("x"))
+    every = sets.select("rep", "size", F.explode("x").alias("x")).repartition(partitions(docs.sparkSession), "x")
+    df = every.groupBy("x").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
+    level = F.least(F.floor(4 * F.log2("df")), F.lit(127)).cast("long")
+    y = F.shiftleft(level, LEVEL).bitwiseOR(F.col("x").bitwiseAND((1 << LEVEL) - 1))
+    mine = every.join(df, "x").groupBy("rep", "size").agg(F.collect_list(y).alias("ys"))
+    out = materialize(mine.where(100 * F.size("ys") >= percent * F.col("size")), "minhash-sets")
+    discard(ids)
+    return out
+
+
+def _differences(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """``head, rep, cost, w, f, post``: what each member costs and the differences it is posted under."""
+    head = sets.select(F.col("rep").alias("head"), F.col("ys").alias("ps"))
+    counts = members.groupBy("head").agg(F.count(F.lit(1)).alias("_n"))
+    mine = members.join(counts, "head").join(sets, "rep")
+    both = _salted(mine, head.join(counts, "head"), "head", "rep", "_n")
+    both = both.select("head", "rep", "size", F.size("ys").alias("known"), F.size("ps").alias("np"), F.array_except("ps", "ys").alias("lacks"), F.array_except("ys", "ps").alias("adds"))
+    m, lone = F.size("lacks"), F.col("size") - F.col("known")
+    both = both.withColumns({"m": m.cast("long"), "o": F.size("adds") + lone, "w": ((100 - percent) * F.col("np")).cast("long")})
+    both = both.withColumn("cost", 100 * F.col("m") + percent * F.col("o"))
+    able = F.col("m") + F.size("adds")  # differences that another member may share
+    need = F.greatest(F.lit(1), F.ceil((F.col("cost") - F.col("w")) / 100))
+    both = both.withColumns({"able": able, "need": need, "f": (100 + percent) * able - F.col("cost")})
+    take = F.greatest(F.lit(0), F.least(F.col("able"), F.col("m") + F.col("o") - F.col("need") + 1 - lone)).cast("int")
+    order = F.concat(F.sort_array("adds"), F.transform(F.sort_array("lacks", asc=False), lambda y: -y))
+    fits = (F.col("able") >= F.col("need")) & (F.col("f") >= percent * F.col("need") - F.col("w"))
+    return both.select("head", "rep", "cost", "w", "f", F.when(fits, F.slice(order, 1, take)).alias("post"))
+
+
+def _candidates(members: DataFrame, roots: DataFrame, sets: DataFrame) -> DataFrame:
+    """Pairs ``a, b`` of different components that share a difference from a leader and may share enough."""
+    mine = members.join(roots, F.col("rep") == F.col("node"), "left").select("head", "rep", "cost", "w", "f", "post", F.coalesce("root", "rep").alias("comp"))
+    several = mine.groupBy("head").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("head")
+    rows = mine.where(F.size("post") > 0).join(several, "head", "left_semi").select("head", "rep", "cost", "w", "f", "comp", F.explode("post").alias("d"))
+    shared = rows.groupBy("head", "d").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("head", "d")
+    rows = materialize(rows.join(shared, ["head", "d"], "left_semi"), "minhash-differences")
+    side = lambda s: rows.select("head", "d", *[F.col(c).alias(f"{c}_{s}") for c in ("rep", "cost", "f", "comp")], *["w"] * (s == "a"))
+    met = side("a").join(side("b"), ["head", "d"]).where("rep_a < rep_b AND comp_a <> comp_b AND f_a >= cost_b - w AND f_b >= cost_a - w")
+    return met.select(F.col("rep_a").alias("a"), F.col("rep_b").alias("b")).distinct()
+
+
+def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    side = lambda s: sets.select(F.col("rep").alias(s), F.col("size").alias(f"n{s}"), F.col("ys").alias(f"y{s}"))
+    both = pairs.join(side("b"), "b").join(side("a"), "a").withColumn("i", F.size(F.array_intersect("ya", "yb")))
+    return both.where(100 * F.col("i") >= percent * (F.col("na") + F.col("nb") - F.col("i"))).select("a", "b")
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5, percent: int = 80) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id (least id reachable), kept."""
     small_batches(docs.sparkSession)
-    tidy = docs.sparkSession.sparkContext._jvm.System.gc  # lets Spark drop shuffle files that nothing needs any more
     base = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text"))
-    signed = materialize(_signatures(base, n), "minhash")
-    full = signed.where("n_shingles > 0 and doc_id is not null")
     key = ["n_shingles", "s1", "s2"]
-    reps = materialize(full.groupBy(*key).agg(F.min("doc_id").alias("rep"), F.first("sig").alias("sig")), "minhash-reps")
-    t = agreement(percent / 100)
-
-    posts = reps.select("rep", "n_shingles", F.posexplode("sig").alias("c", "v")).select("rep", "n_shingles", (F.shiftleft(F.col("c").cast("long"), 32) + F.col("v").cast("long")).alias("key"))
-    shared = posts.groupBy("key").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
-    mine = posts.join(shared, "key").groupBy("rep", F.col("n_shingles").alias("size")).agg(F.array_sort(F.collect_list(F.struct("df", "key"))).alias("p"), F.sum(F.log2("df")).alias("score"))
-    lone = F.lit(K) - F.size("p")
-    posts = materialize(
-        mine.select("rep", "size", "score", F.explode(F.slice("p", 1, F.greatest(F.lit(K - t + 1) - lone, F.lit(0)))).alias("x")).select("rep", "size", "score", "x.key"), "minhash-posts"
-    )
-    sigs = reps.select("rep", "sig", "n_shingles").join(posts.select("rep").distinct(), "rep", "left_semi")
-    # the sets of what is posted at all; repeated rows of an id count once
-    sets = _full_sets(base.join(posts.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi"), n)
-    sets = materialize(sets.groupBy("doc_id").agg(F.first("shingles").alias("shingles")).join(sigs.withColumnRenamed("rep", "doc_id"), "doc_id"), "minhash-sets")
-
-    def confirm(pairs: DataFrame) -> DataFrame:
-        side = lambda s: sets.select(F.col("doc_id").alias(s), F.col("sig").alias(f"g{s}"), F.col("shingles").alias(f"x{s}"), F.col("n_shingles").alias(f"n{s}"))
-        light = lambda s: sigs.select(F.col("rep").alias(s), F.col("sig").alias(f"g{s}"))
-        alike = F.aggregate(F.zip_with("ga", "gb", lambda x, y: (x == y).cast("int")), F.lit(0), lambda s, x: s + x)
-        likely = pairs.join(light("a"), "a").join(light("b"), "b").where(alike >= t).select("a", "b")
-        both = likely.join(side("b").drop("gb"), "b").join(side("a").drop("ga"), "a")
-        both = both.withColumn("i", F.size(F.array_intersect("xa", "xb")))
-        return both.where(100 * F.col("i") >= percent * (F.col("na") + F.col("nb") - F.col("i"))).select("a", "b")
-
-    # a set links only if the threshold's share of its shingles occurs in others, too
-    alone = sets.select("doc_id", F.explode("shingles").alias("x")).groupBy("x").agg(F.min("doc_id").alias("_rep"), F.count(F.lit(1)).alias("df")).where("df = 1")
-    alone = alone.groupBy("_rep").agg(F.count(F.lit(1)).alias("m"))
-    apart = posts.join(alone, F.col("rep") == F.col("_rep"), "left").where(f"100 * (size - coalesce(m, 0)) >= {percent} * size")
-    posts = materialize(apart.drop("_rep", "m"), "minhash-posts")
-    tidy()
-
-    links = materialize(posts.select(F.col("rep").alias("a"), F.col("rep").alias("b")).limit(0), "minhash-links")
-    roots = links.select(F.col("a").alias("node"), F.col("b").alias("root"))
-
-    def labelled() -> DataFrame:
-        return posts.join(roots, F.col("rep") == F.col("node"), "left").select("key", "rep", "size", "score", F.coalesce("root", "rep").alias("comp"))
-
-    def near(x: str, y: str) -> str:
-        """Sets whose sizes differ more cannot reach the threshold."""
-        return f"100 * least({x}, {y}) >= {percent} * greatest({x}, {y})"
-
-    def mixed(p: DataFrame) -> DataFrame:
-        open_ = p.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("key")
-        return p.join(open_, "key", "left_semi")
-
-    orders = (F.struct("score", F.xxhash64("rep")), F.struct(F.xxhash64("rep", F.lit(1)), F.lit(0)), F.struct(F.xxhash64("rep", F.lit(2)), F.lit(0)))
-    for order in orders:
-        p = materialize(mixed(labelled()), "minhash-open")
-        if p.isEmpty():
-            break
-        heads = p.groupBy("key").agg(F.max(F.struct(order.alias("o"), F.col("rep"), F.col("comp"), F.col("size"))).alias("h")).select("key", F.col("h.rep").alias("head"), F.col("h.comp").alias("headcomp"), F.col("h.size").alias("headsize"))
-        pairs = p.join(heads, "key").where(f"comp <> headcomp and {near('size', 'headsize')}").select(F.col("rep").alias("a"), F.col("head").alias("b")).distinct()
-        links = links.unionByName(materialize(confirm(pairs), "minhash-links"))
-        roots = components(links)
-        tidy()
-    p = materialize(mixed(labelled()), "minhash-open")
-    inside = p.select("rep", "comp", "size").distinct()
-    inside = sets.join(inside, F.col("doc_id") == F.col("rep")).select("rep", "comp", "size", F.explode("shingles").alias("x"))
-    outside = inside.groupBy("x").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("x")
-    able = inside.join(outside, "x", "left_semi").groupBy("rep", "size").agg(F.count(F.lit(1)).alias("m")).where(f"100 * m >= {percent} * size").select("rep")
-    p = materialize(p.join(able, "rep", "left_semi"), "minhash-able")
-    tidy()
-    per = p.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("m"))
-    main = per.groupBy("key").agg(F.max(F.struct("m", "comp")).alias("h")).select("key", F.col("h.comp").alias("main"))
-    minor = p.join(main, "key").where("comp <> main").select("key", F.col("rep").alias("a"), F.col("comp").alias("ca"), F.col("size").alias("na"))
-    rest = minor.join(p.select("key", F.col("rep").alias("b"), F.col("comp").alias("cb"), F.col("size").alias("nb")), "key").where(f"ca <> cb and {near('na', 'nb')}").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    links = links.unionByName(materialize(confirm(rest), "minhash-links"))
-    roots = components(links)
-
-    named = reps.select(*[F.col(k).alias(f"_{k}") for k in key], "rep").join(roots, F.col("rep") == F.col("node"), "left")
-    named = named.select(*[f"_{k}" for k in key], F.coalesce("root", "rep").alias("found"))
+    signed = materialize(_signatures(base, n), "minhash")
+    reps = signed.where("n_shingles > 0 and doc_id is not null").groupBy(*key).agg(F.min("doc_id").alias("least"), F.first("sig").alias("sig"))
+    reps = materialize(reps.withColumn("rep", F.monotonically_increasing_id()), "minhash-reps")
+    named = reps.select("rep", "least", *key)
+
+    posts = materialize(_posts(reps, agreement(percent / 100)), "minhash-posts")
+    sets = _shared_shingles(base, named.join(posts.select("rep").distinct(), "rep", "left_semi"), n, percent)
+
+    # every list has the leader with the most company; a list that lost all members but one is out
+    able = posts.join(sets.select("rep"), "rep", "left_semi")
+    heads = able.groupBy("key").agg(F.max(F.struct("score", "rep")).alias("h"), F.count(F.lit(1)).alias("n"), F.first("df").alias("df")).where("n > 1")
+    led = _salted(able.select("key", "rep", "df"), heads.select("key", F.col("h.rep").alias("head"), "df"), "key", "rep", "df")
+    members = materialize(led.select("head", "rep").distinct(), "minhash-members")
+    discard(posts)
+
+    differ = materialize(_differences(members, sets, percent), "minhash-differ")
+    cheapest = differ.groupBy("head").agg(F.min(F.struct("cost", "rep")).alias("c")).select("head", F.col("c.rep").alias("b"), F.col("c.cost").alias("least_cost"), F.lit(0).cast("long").alias("_"))
+    counts = differ.groupBy("head").agg(F.count(F.lit(1)).alias("_n"))
+    star = _salted(differ.select("head", "rep", "cost", "w").join(counts, "head"), cheapest.drop("_").join(counts, "head"), "head", "rep", "_n")
+    links = materialize(star.where("rep <> b AND cost + least_cost <= w").select(F.col("rep").alias("a"), "b").distinct(), "minhash-links")
+    more = _confirmed(_candidates(differ, components(links), sets), sets, percent)
+    roots = components(links.unionByName(more))
+
+    rooted = named.join(roots, F.col("rep") == F.col("node"), "left").select("least", *key, F.coalesce("root", "rep").alias("root"))
+    found = rooted.groupBy("root").agg(F.min("least").alias("found"))
+    rooted = rooted.join(found, "root").select(*[F.col(k).alias(f"_{k}") for k in key], "found")
     on = (F.col("n_shingles") > 0) & F.col("doc_id").isNotNull()
     for k in key:
         on = on & (F.col(k) == F.col(f"_{k}"))
-    out = signed.select("doc_id", *key).join(named, on, "left")
+    out = signed.select("doc_id", *key).join(rooted, on, "left")
     out = out.select("doc_id", "n_shingles", F.coalesce("found", "doc_id").alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
