@@ -119,13 +119,54 @@ def test_rans_round_trip():
     for n in (1, 31, 1000, 300_000):
         ids = (rng.pareto(1.0, n) * 10).astype(np.uint32) % 5000
         table = rans.Table(*(x.tolist() for x in np.unique(ids, return_counts=True)))
-        block = rans.encode_block(table, np.array([7], np.int64), np.array([n], np.uint32), ids)
-        _, lengths, back = rans.decode_block(table, block)
-        assert (back == ids).all() and lengths.tolist() == [n]
+        block = rans.encode_block(table, [7, None], np.array([n - 1, 1], np.uint32), ids)
+        docs, lengths, back = rans.decode_block(table, block)
+        assert (back == ids).all() and lengths.tolist() == [n - 1, 1] and docs.to_pylist() == [7, None]
         with pytest.raises(ValueError):
             rans.decode_block(table, block[:-1] + bytes([block[-1] ^ 1]))
 
 
+def test_rans_decodes_from_each_checkpoint():
+    ids = np.random.default_rng(6).integers(0, 300, 600_000).astype(np.uint32)
+    table = rans.Table(*(x.tolist() for x in np.unique(ids, return_counts=True)))
+    block = rans.Block(table, rans.encode_block(table, [1], np.array([len(ids)], np.uint32), ids))
+    assert len(block.begins) > 3
+    for i in reversed(range(len(block.begins))):
+        lo, got = block.span(i)
+        assert (got == ids[lo : lo + len(got)]).all() and len(got)
+    assert (block.ids(workers=4) == ids).all()
+
+
+def test_pieces_equal_the_library():
+    import random
+
+    import public_tokenizers
+
+    known = rans.Pieces(public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN)
+    rng = random.Random(3)
+    texts = ["".join(rng.choice("ab 'é,.1\n\tªsß日🙂²") for _ in range(rng.randint(0, 40))) for _ in range(3000)]
+    texts += ["it's 12,5 we'll 'tis", "don't,", "word'", " lead", "trail ", "a\tb c", "x <|endoftext|> y", "q" * 5000]
+    assert [x.tolist() for x in known.encode_all(texts)] == [known.tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+
+
+def test_token_files_of_a_table(spark):
+    """A few hundred documents with null, repeated and least ids against the library."""
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    some = [(r["doc_id"], r["text"]) for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text").collect()][:400]
+    some += [(None, "no id"), (None, None), (some[0][0], "again"), (-(1 << 63), "least"), (some[1][0], some[1][1])]
+    order = sorted(some, key=lambda r: (r[0] is not None, r[0] or 0, r[1] is not None, r[1] or ""))
+    start, want = 0, []
+    for i, x in order:
+        ids = t.encode(x or "", add_special_tokens=False).ids + [2]
+        want.append((i, start, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())))
+        start += len(ids)
+    got = rans.token_files(spark.createDataFrame(some, "doc_id long, text string")).collect()
+    assert sorted((tuple(r) for r in got), key=lambda r: r[1]) == want
+
+
 def test_token_files(docs, none):
     import public_tokenizers
     from tokenizers import Tokenizer

@@ -16,17 +16,22 @@ from __future__ import annotations
 import re
 import struct
 import zlib
+from collections.abc import Sequence
+from concurrent.futures import ThreadPoolExecutor
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_schema, materialize, new_path, partitions, running_totals, small_batches
+from .common import arrow_schema, discard, materialize, new_path, partitions, running_totals, small_batches
 
-SCALE, LANES, BLOCK, EVERY = 20, 1024, 1 << 18, 64
-MAGIC = b"TMRANS1\0"
+SCALE, LANES, BLOCK, EVERY = 20, 2048, 1 << 18, 32
+MAGIC = b"TMRANS2\0"
+#: Characters that are encoded at once.
+SOME = 8 << 20
 _U32, _LOW = np.uint64(32), np.uint64(1 << 31)
 
 
@@ -47,7 +52,10 @@ class Table:
         self.id = zlib.crc32(self.symbols.tobytes() + self.freq.tobytes())
 
     def places(self, ids: np.ndarray) -> np.ndarray:
-        return np.searchsorted(self.symbols, ids)
+        if not hasattr(self, "_places"):
+            self._places = np.zeros(int(self.symbols[-1]) + 1 if len(self.symbols) else 1, np.int32)
+            self._places[self.symbols] = np.arange(len(self.symbols))
+        return self._places[ids]
 
     def slots(self) -> np.ndarray:
         if not hasattr(self, "_slots"):
@@ -55,8 +63,10 @@ class Table:
         return self._slots
 
 
-def encode_block(table: Table, doc_ids: np.ndarray, lengths: np.ndarray, ids: np.ndarray) -> bytes:
+def encode_block(table: Table, doc_ids: list[int | None], lengths: np.ndarray, ids: np.ndarray) -> bytes:
     n = len(ids)
+    named = np.array([i is not None for i in doc_ids], np.uint8)
+    doc_ids = np.array([i or 0 for i in doc_ids], np.int64)
     lanes = int(min(LANES, max(1, n // 32)))
     steps = -(-n // lanes)
     place = table.places(ids)
@@ -71,22 +81,23 @@ def encode_block(table: Table, doc_ids: np.ndarray, lengths: np.ndarray, ids: np
         full = y >= (f << np.uint64(63 - SCALE))
         out = (y[full] & np.uint64(0xFFFFFFFF)).astype(np.uint32)
         y = np.where(full, y >> _U32, y)
-        x[: hi - lo] = ((y // f) << np.uint64(SCALE)) + y % f + c
+        q = y // f
+        x[: hi - lo] = (q << np.uint64(SCALE)) + (y - q * f) + c
         words.append(out)
         written += len(out)
         if s and s % EVERY == 0:
             marks.append((s, written, x.copy()))
     body = np.concatenate(words[::-1]) if words else np.zeros(0, np.uint32)
     head = MAGIC + struct.pack("<IIQIII", table.id, lanes, n, len(doc_ids), len(marks), zlib.crc32(ids.astype("<u4").tobytes()))
-    parts = [head, doc_ids.astype("<i8").tobytes(), lengths.astype("<u4").tobytes(), x.astype("<u8").tobytes()]
+    parts = [head, named.tobytes(), doc_ids.astype("<i8").tobytes(), lengths.astype("<u4").tobytes(), x.astype("<u8").tobytes()]
     for s, after, states in reversed(marks):  # words before the checkpoint = all but those written by then
         parts += [struct.pack("<QQ", s, written - after), states.astype("<u8").tobytes()]
     return b"".join([*parts, struct.pack("<Q", written), body.astype("<u4").tobytes()])
 
 
-def _steps(table: Table, x: np.ndarray, words: np.ndarray, at: int, first: int, last: int, lanes: int, out: np.ndarray) -> None:
+def _steps(table: Table, x: np.ndarray, words: np.ndarray, at: int, steps: int, lanes: int, out: np.ndarray) -> None:
     n, slots, mask = len(out), table.slots(), np.uint64((1 << SCALE) - 1)
-    for s in range(first, last):
+    for s in range(steps):
         lo, hi = s * lanes, min(n, (s + 1) * lanes)
         y = x[: hi - lo]
         low = y & mask
@@ -99,45 +110,74 @@ def _steps(table: Table, x: np.ndarray, words: np.ndarray, at: int, first: int,
         out[lo:hi] = table.symbols[place]
 
 
-def decode_block(table: Table, data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+class Block:
+    """A block's header: documents, checkpoints and where the words lie; raises ValueError for another table's."""
+
+    def __init__(self, table: Table, data: bytes):
+        if data[:8] != MAGIC:
+            raise ValueError("not a block")
+        which, self.lanes, self.n, docs, marks, self.crc = struct.unpack_from("<IIQIII", data, 8)
+        if which != table.id:
+            raise ValueError("the block belongs to another frequency table")
+        at = 8 + struct.calcsize("<IIQIII")
+
+        def take(kind: str, count: int) -> np.ndarray:
+            nonlocal at
+            got = np.frombuffer(data, kind, count, at)
+            at += got.nbytes
+            return got
+
+        named, ids, self.lengths = take("u1", docs), take("<i8", docs), take("<u4", docs)
+        self.doc_ids = pa.array(ids.astype(np.int64), mask=named == 0)
+        #: step, words before it, the lanes' states: decoding can begin at any of these
+        self.begins = [(0, 0, take("<u8", self.lanes))]
+        for _ in range(marks):
+            s, word = take("<u8", 2)
+            self.begins.append((int(s), int(word), take("<u8", self.lanes)))
+        self.words = take("<u4", int(take("<u8", 1)[0]))
+        self.table = table
+
+    def span(self, i: int) -> tuple[int, np.ndarray]:
+        """What lies between checkpoint ``i`` and the next: place of the first id, and the ids; needs no other span."""
+        first, word, states = self.begins[i]
+        last = self.begins[i + 1][0] if i + 1 < len(self.begins) else -(-self.n // self.lanes)
+        lo, hi = first * self.lanes, min(self.n, last * self.lanes)
+        out = np.empty(hi - lo, np.uint32)
+        _steps(self.table, states.astype(np.uint64), self.words, word, last - first, self.lanes, out)
+        return lo, out
+
+    def ids(self, workers: int = 1) -> np.ndarray:
+        """All token ids; ``workers`` threads each take the next span.  Raises ValueError if the checksum differs."""
+        spans = range(len(self.begins))
+        if workers > 1:
+            with ThreadPoolExecutor(workers) as pool:
+                parts = [x for _, x in pool.map(self.span, spans)]
+        else:
+            parts = [self.span(i)[1] for i in spans]
+        out = np.concatenate(parts)
+        if zlib.crc32(out.astype("<u4").tobytes()) != self.crc:
+            raise ValueError("checksum of a block does not match")
+        return out
+
+
+def decode_block(table: Table, data: bytes) -> tuple[pa.Array, np.ndarray, np.ndarray]:
     """Document ids, lengths and token ids of a block; raises ValueError if it is damaged."""
-    if data[:8] != MAGIC:
-        raise ValueError("not a block")
-    which, lanes, n, docs, marks, crc = struct.unpack_from("<IIQIII", data, 8)
-    if which != table.id:
-        raise ValueError("the block belongs to another frequency table")
-    at = 8 + struct.calcsize("<IIQIII")
-
-    def take(kind: str, count: int) -> np.ndarray:
-        nonlocal at
-        got = np.frombuffer(data, kind, count, at)
-        at += got.nbytes
-        return got
-
-    doc_ids, lengths, states = take("<i8", docs), take("<u4", docs), take("<u8", lanes)
-    begins = [(0, 0, states)]
-    for _ in range(marks):
-        s, word = take("<u8", 2)
-        begins.append((int(s), int(word), take("<u8", lanes)))
-    words = take("<u4", int(take("<u8", 1)[0]))
-    out = np.empty(n, np.uint32)
-    ends = [b[0] for b in begins[1:]] + [-(-n // lanes)]
-    for (first, word, x), last in zip(begins, ends, strict=True):  # each span could go to its own thread
-        _steps(table, x.astype(np.uint64), words, word, first, last, lanes, out)
-    if zlib.crc32(out.astype("<u4").tobytes()) != crc:
-        raise ValueError("checksum of a block does not match")
-    return doc_ids, lengths, out
+    block = Block(table, data)
+    return block.doc_ids, block.lengths, block.ids()
 
 
 class Pieces(dict):
-    """Token ids (little-endian 32 bits) by piece of text; a bounded memory of the tokenizers library's answers.
+    """Token ids (packed) by space-led piece of text; a bounded memory of the tokenizers library's answers.
 
     Byte-level pre-tokens never span a single space between other characters, so a text without
     doubled white space is the concatenation of its space-led pieces; other texts are split by the
-    vocabulary's own pattern.  Either way the library encodes the pieces.
+    vocabulary's own pattern.  Either way the library makes the ids: its model for a piece that is one
+    run of letters (with punctuation after it, which is a pre-token of its own), else its whole encoder.
+    Texts that hold an added token are encoded as they are.
     """
 
-    LIMIT = 1_000_000
+    #: Bytes that the memory may take in a worker, and what an entry takes beside its text and ids.
+    LIMIT, ENTRY = 240 << 20, 200
 
     def __init__(self, path: str, pattern: str):
         import regex
@@ -146,29 +186,78 @@ class Pieces(dict):
         self.tokenizer = Tokenizer.from_file(path)
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.double, self.split = re.compile(r"\s\s"), regex.compile(pattern).findall
+        self.ending = regex.compile(r"( ?\p{L}+)([^\s\p{L}\p{N}]+)").fullmatch
+        self.kind = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
+        self.code = "H" if self.kind.itemsize == 2 else "I"
+        self.held = 0
+        # the printable stand-ins of bytes in byte-level vocabularies
+        shown = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]
+        hidden = [b for b in range(256) if b not in shown]
+        self.stand = {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(hidden)}
 
     def __missing__(self, piece: str) -> bytes:
-        got = self.whole(piece)
-        if len(self) < self.LIMIT:
+        got = self._piece(piece)
+        if self.held < self.LIMIT:
+            self.held += self.ENTRY + len(piece) + len(got)
             self[piece] = got
         return got
 
+    def _piece(self, piece: str) -> bytes:
+        word = piece[1:] if piece[:1] == " " else piece
+        if word.isalpha():
+            if piece.isascii():
+                shown = piece if word is piece else self.stand[32] + word
+            else:
+                shown = "".join([self.stand[b] for b in piece.encode()])
+            return self.pack([t.id for t in self.tokenizer.model.tokenize(shown)])
+        if m := self.ending(piece):
+            return self[m[1]] + self[m[2]]
+        return self.whole(piece)
+
+    def pack(self, ids: list[int]) -> bytes:
+        return struct.pack(f"<{len(ids)}{self.code}", *ids)
+
     def whole(self, text: str) -> bytes:
-        return struct.pack(f"<{len(ids)}I", *ids) if (ids := self.tokenizer.encode(text, add_special_tokens=False).ids) else b""
+        return self.pack(self.tokenizer.encode(text, add_special_tokens=False).ids)
 
     def doubled(self, text: str) -> bool:
         """Whether white space follows white space; of printable characters, only the space is white."""
         return "  " in text if text.isprintable() else self.double.search(text) is not None
 
+    def spaced(self, text: str) -> bool:
+        """Whether the text is the concatenation of its space-led pieces."""
+        return not self.doubled(text) and not any(s in text for s in self.special)
+
     def encode(self, text: str) -> bytes:
-        if not text:
-            return b""
         if any(s in text for s in self.special):
             return self.whole(text)
-        if self.doubled(text):
-            return b"".join([self[w] for w in self.split(text)])
-        first, *rest = text.split(" ")
-        return (self[first] if first else b"") + b"".join([self[" " + w] for w in rest])
+        return b"".join([self[w] for w in self.split(text)])
+
+    def encode_all(self, texts: Sequence[str]) -> list[np.ndarray]:
+        """The ids of each text; of spaced texts every distinct word is looked up once."""
+        plain = [i for i, t in enumerate(texts) if t and self.spaced(t)]
+        out: list[np.ndarray] = [np.zeros(0, self.kind)] * len(texts)
+        for i in set(range(len(texts))) - set(plain):
+            out[i] = np.frombuffer(self.encode(texts[i]), self.kind)
+        if not plain:
+            return out
+        listed = pc.split_pattern(pa.array([texts[i] for i in plain], pa.large_string()), " ")
+        off = np.asarray(listed.offsets)
+        words = listed.values.dictionary_encode()
+        code = np.asarray(words.indices).astype(np.int64)
+        known = [self[" " + w] for w in words.dictionary.to_pylist()]
+        first = [texts[i].partition(" ")[0] for i in plain]  # no space leads these
+        code[off[:-1]] = len(known) + np.arange(len(first))
+        known += [self[w] if w else b"" for w in first]
+        size = np.array([len(k) for k in known]) // self.kind.itemsize
+        begin = np.cumsum(size) - size
+        n = size[code]
+        end = np.cumsum(n)
+        ids = np.frombuffer(b"".join(known), self.kind)[np.arange(end[-1]) + np.repeat(begin[code] - (end - n), n)]
+        cut = np.append(0, end)[off]
+        for j, i in enumerate(plain):
+            out[i] = ids[cut[j] : cut[j + 1]]
+        return out
 
 
 @lru_cache(maxsize=1)
@@ -183,43 +272,63 @@ def _ordered(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def tokenize(docs: DataFrame, path: str, pattern: str, end_id: int | None = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``at, doc_id, ids`` in ascending order of the id: ``at`` orders rows, ids are little-endian 32 bits."""
-    schema = "at long, doc_id long, ids binary"
+    """``at, doc_id, ids, counts`` in ascending order of the id: ``at`` orders rows, ids are packed in 16 or 32 bits.
+
+    The last row of each task has no ``at``; its ``counts`` are pairs of an id and how often the task met it.
+    """
+    schema = "at long, doc_id long, ids binary, counts binary"
     arrow = arrow_schema(schema)
     small_batches(docs.sparkSession)
-    tail = b"" if end_id is None else struct.pack("<I", end_id)
 
     def run(batches):
         known = pieces(path, pattern)
+        tail = np.array([] if end_id is None else [end_id], known.kind)
+        counts = np.zeros(1 << 16, np.int64)
+        rows: list[tuple] = []
+        held = 0
+
+        def flush():
+            nonlocal counts
+            ats, docs, texts = zip(*rows, strict=True)
+            ids = [np.append(x, tail) for x in known.encode_all(texts)]
+            got = np.bincount(np.concatenate(ids), minlength=len(counts))
+            counts = got + np.pad(counts, (0, len(got) - len(counts)))
+            cols = ats, docs, [x.tobytes() for x in ids], [None] * len(ids)
+            return pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(cols, arrow, strict=True)], schema=arrow)
+
         for batch in batches:
-            texts = batch.column(2).to_pylist()
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([known.encode(t or "") + tail for t in texts], pa.binary())], schema=arrow)
+            for at, doc, text in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+                rows.append((at, doc, text or ""))
+                held += len(text or "")
+                if held >= SOME:
+                    yield flush()
+                    rows, held = [], 0
+        if rows:
+            yield flush()
+        used = np.flatnonzero(counts)
+        pairs = np.stack([used, counts[used]], axis=1).astype("<i8").tobytes()
+        yield pa.RecordBatch.from_arrays([pa.array([x], f.type) for x, f in zip((None, None, None, pairs), arrow, strict=True)], schema=arrow)
 
     rows = _ordered(docs, id_col, text_col).select(F.monotonically_increasing_id().alias("at"), "doc_id", "text")
     return rows.mapInArrow(run, schema)
 
 
 def frequencies(tokens: DataFrame) -> Table:
-    """Exact counts of all ids; each task sends one row for each id it met, the driver gets the vocabulary."""
+    """Exact counts of all ids from the tasks' own counts; the driver gets the vocabulary."""
     schema = "id long, n long"
     arrow = arrow_schema(schema)
 
     def run(batches):
-        counts = np.zeros(0, np.int64)
         for batch in batches:
-            for ids in batch.column(0):
-                got = np.bincount(np.frombuffer(ids.as_py(), "<u4"))
-                if len(got) > len(counts):
-                    counts = np.concatenate([counts, np.zeros(len(got) - len(counts), np.int64)])
-                counts[: len(got)] += got
-        used = np.flatnonzero(counts)
-        yield pa.RecordBatch.from_arrays([pa.array(used, pa.int64()), pa.array(counts[used], pa.int64())], schema=arrow)
+            for raw in batch.column(0).to_pylist():
+                pairs = np.frombuffer(raw, "<i8").reshape(-1, 2)
+                yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], schema=arrow)
 
-    rows = tokens.select("ids").mapInArrow(run, schema).groupBy("id").agg(F.sum("n").alias("n")).orderBy("id").collect()
+    rows = tokens.where("counts is not null").select("counts").mapInArrow(run, schema).groupBy("id").agg(F.sum("n").alias("n")).orderBy("id").collect()
     return Table([r["id"] for r in rows], [r["n"] for r in rows])
 
 
-def write_blocks(tokens: DataFrame, table: Table, path: str) -> None:
+def write_blocks(tokens: DataFrame, table: Table, path: str, kind: np.dtype) -> None:
     """Encode ``at, doc_id, ids`` rows to blocks of about ``BLOCK`` ids; a longer document is a block of its own."""
     schema = "first long, docs long, tokens long, block binary"
     arrow = arrow_schema(schema)
@@ -232,7 +341,7 @@ def write_blocks(tokens: DataFrame, table: Table, path: str) -> None:
 
         def flush():
             lengths = np.array([len(x) for x in ids], np.uint32)
-            block = encode_block(table, np.array(docs, np.int64), lengths, np.concatenate(ids))
+            block = encode_block(table, docs, lengths, np.concatenate(ids).astype(np.uint32))
             row = [[ats[0]], [len(docs)], [int(lengths.sum())], [block]]
             for x in (ats, docs, ids):
                 x.clear()
@@ -244,13 +353,13 @@ def write_blocks(tokens: DataFrame, table: Table, path: str) -> None:
                     yield flush()
                     held = 0
                 ats.append(at)
-                docs.append(doc if doc is not None else -(1 << 63))
-                ids.append(np.frombuffer(raw, "<u4"))
+                docs.append(doc)
+                ids.append(np.frombuffer(raw, kind))
                 held += len(ids[-1])
         if ats:
             yield flush()
 
-    tokens.select("at", "doc_id", "ids").mapInArrow(run, schema).write.parquet(path)
+    tokens.where("at is not null").select("at", "doc_id", "ids").mapInArrow(run, schema).write.parquet(path)
 
 
 def read_blocks(spark, path: str, table: Table) -> DataFrame:
@@ -267,9 +376,8 @@ def read_blocks(spark, path: str, table: Table) -> DataFrame:
                 ends = np.cumsum(lengths.astype(np.int64))
                 begins = ends - lengths
                 crc = [zlib.crc32(ids[a:b].astype("<u4").tobytes()) for a, b in zip(begins, ends, strict=True)]
-                none = pa.array(docs.astype(np.int64), mask=docs == -(1 << 63))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.full(len(docs), first)), pa.array(np.arange(len(docs))), none, pa.array(begins), pa.array(lengths.astype(np.int64)), pa.array(crc, pa.int64())], schema=arrow
+                    [pa.array(np.full(len(docs), first)), pa.array(np.arange(len(docs))), docs, pa.array(begins), pa.array(lengths.astype(np.int64)), pa.array(crc, pa.int64())], schema=arrow
                 )
 
     rows = blocks.select("first", "block").mapInArrow(run, schema)
@@ -281,9 +389,9 @@ def token_files(docs: DataFrame, vocabulary: str = "byte_bpe_50k.json", end_id:
     import public_tokenizers
 
     spark = docs.sparkSession
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "200")
     tokens = materialize(tokenize(docs, public_tokenizers.path(vocabulary), public_tokenizers.PATTERN, end_id), "tokens")
     table = frequencies(tokens)
     path = path or new_path(spark, "rans")
-    write_blocks(tokens, table, path)
+    write_blocks(tokens, table, path, pieces(public_tokenizers.path(vocabulary), public_tokenizers.PATTERN).kind)
+    discard(tokens)
     return read_blocks(spark, path, table)
