@@ -186,20 +186,25 @@ class Pieces(dict):
         self.tokenizer = Tokenizer.from_file(path)
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.double, self.split = re.compile(r"\s\s"), regex.compile(pattern).findall
-        self.ending = regex.compile(r"( ?\p{L}+)([^\s\p{L}\p{N}]+)").fullmatch
         self.kind = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
         self.code = "H" if self.kind.itemsize == 2 else "I"
         self.held = 0
+        self.led: dict[str, bytes] = {}  # the pieces that a space leads, without it
         # the printable stand-ins of bytes in byte-level vocabularies
         shown = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]
         hidden = [b for b in range(256) if b not in shown]
         self.stand = {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(hidden)}
 
     def __missing__(self, piece: str) -> bytes:
-        got = self._piece(piece)
+        return self._keep(self, piece, self._piece(piece))
+
+    def after_space(self, word: str) -> bytes:
+        return self._keep(self.led, word, self._piece(" " + word))
+
+    def _keep(self, where: dict[str, bytes], piece: str, got: bytes) -> bytes:
         if self.held < self.LIMIT:
             self.held += self.ENTRY + len(piece) + len(got)
-            self[piece] = got
+            where[piece] = got
         return got
 
     def _piece(self, piece: str) -> bytes:
@@ -210,8 +215,9 @@ class Pieces(dict):
             else:
                 shown = "".join([self.stand[b] for b in piece.encode()])
             return self.pack([t.id for t in self.tokenizer.model.tokenize(shown)])
-        if m := self.ending(piece):
-            return self[m[1]] + self[m[2]]
+        stem = word.rstrip(".,;:!?)")
+        if stem.isalpha():
+            return (self[stem] if piece is word else self.led.get(stem) or self.after_space(stem)) + self[word[len(stem) :]]
         return self.whole(piece)
 
     def pack(self, ids: list[int]) -> bytes:
@@ -245,11 +251,15 @@ class Pieces(dict):
         off = np.asarray(listed.offsets)
         words = listed.values.dictionary_encode()
         code = np.asarray(words.indices).astype(np.int64)
-        known = [self[" " + w] for w in words.dictionary.to_pylist()]
+        joined = pc.binary_join(pa.ListArray.from_arrays([0, len(words.dictionary)], words.dictionary), pa.scalar(" ", pa.large_string()))
+        distinct = joined[0].as_py().split(" ")  # no word has a space
+        known = list(map(self.led.get, distinct))
+        for i in [i for i, k in enumerate(known) if k is None]:
+            known[i] = self.after_space(distinct[i])
         first = [texts[i].partition(" ")[0] for i in plain]  # no space leads these
         code[off[:-1]] = len(known) + np.arange(len(first))
         known += [self[w] if w else b"" for w in first]
-        size = np.array([len(k) for k in known]) // self.kind.itemsize
+        size = np.fromiter(map(len, known), np.int64, len(known)) // self.kind.itemsize
         begin = np.cumsum(size) - size
         n = size[code]
         end = np.cumsum(n)
