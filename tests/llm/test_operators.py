@@ -222,6 +222,39 @@ def test_decontaminate_finds_edited_copies(spark):
         assert {r["doc_id"] for r in found} == {i for i, _ in rows}
 
 
+def test_decontaminate_recall_of_edited_copies(spark):
+    """Items of 40 words, of whose copies every 5th to 8th word is changed or two stretches are cut: all are found, and nothing else."""
+    items = [(i, text(100 + i, 40)) for i in range(40)]
+    rows = [(-1, text(99, 300))]
+    for i, item in items:
+        ws = item.split()
+        for step in (5, 6, 7, 8):
+            rows.append((i * 10 + step, f"{text(500 + i, 30)} {' '.join('other' if k % step == step - 1 else w for k, w in enumerate(ws))} {text(600 + i, 30)}"))
+        rows.append((i * 10, f"{text(700 + i, 30)} {' '.join(ws[:8] + ws[12:25] + ws[29:])}"))
+        rows.append((i * 10 + 1, item))
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    found = {(r["doc_id"], r["item_id"]) for r in decontaminate.contaminated(spark.createDataFrame(rows, "doc_id long, text string"), bench).collect()}
+    want = set()
+    for d, t in rows:
+        for i, item in items:
+            a, b = decontaminate.word_hashes(item), decontaminate.word_hashes(t)
+            if decontaminate.align(a, b)[0] >= decontaminate.LEAST * 2 * len(a):
+                want.add((d, i))
+    assert found == want == {(d, d // 10) for d, _ in rows if d >= 0}
+
+
+def test_decontaminate_odd_rows(spark):
+    """Items of one id with different texts, items and documents without an id, repeated rows, further columns."""
+    one, two, three = text(8, 40), text(9, 40), text(10, 40)
+    bench = spark.createDataFrame([(7, one), (7, two), (None, three)], "item_id long, text string")
+    rows = [(1, "x " + one, 5), (2, two, 6), (None, three, 7), (None, text(11, 300), 8), (3, None, 9), (2, two, 6)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, item_id int")
+    got = sorted(((r["doc_id"], r["item_id"]) for r in decontaminate.contaminated(docs, bench).collect()), key=str)
+    assert got == [(1, 7), (2, 7), (2, 7), (None, None)]
+    assert sorted(r["item_id"] for r in decontaminate.clean(docs, bench).collect()) == [8, 9]
+    assert decontaminate.clean(docs, bench.limit(0)).count() == len(rows)
+
+
 def test_decontaminate_finds_short_and_unspaced_items(spark):
     items = [(1, "zyzzyva"), (2, "Zoë naïve"), (3, "one two three"), (4, "猫が好きです。"), (5, "答"), (6, "กข")]
     rows = [

@@ -11,8 +11,10 @@ seeds.  Stretches are passed over only if too few of their words are the item's
 keep most of it.  Pairs that reach ``least`` are contaminated.
 
 The benchmark is split into blocks of at most ``BLOCK`` bytes, and each block is one pass over the
-documents: nothing larger is ever broadcast.  Null and empty texts and items match nothing.
-Rows without an id keep it null.
+documents: nothing larger is ever sent to a worker.  Null and empty texts and items match nothing.
+Rows and items without an id keep it null; repeated rows give repeated pairs, and items of one id
+with different texts are searched for each.  Only the id and text columns are looked at; ``clean``
+hands the others on as they are.
 """
 
 from __future__ import annotations
@@ -23,7 +25,6 @@ import unicodedata
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from .common import arrow_schema, row_blocks, small_batches, text_buffers
 from .kernels import COEF_LOWER, prefix_hash, shingles, span_hash
@@ -121,9 +122,11 @@ def align(item: np.ndarray, text: np.ndarray) -> tuple[int, int, int]:
 
 class _Seeds:
     def __init__(self, items: list[tuple[int, np.ndarray]]):
-        self.items = dict(items)
-        self.sizes = sorted({min(N, len(words)) for _, words in items})
-        pairs = sorted({(int(g), i) for i, words in items for g in grams(words)})
+        """``items``: id and words; items are told apart by their place, so ids may recur."""
+        self.ids = [i for i, _ in items]
+        self.items = [words for _, words in items]
+        self.sizes = sorted({min(N, len(words)) for words in self.items})
+        pairs = sorted({(int(g), i) for i, words in enumerate(self.items) for g in grams(words)})
         self.gram = np.array([g for g, _ in pairs], np.uint64)
         self.item = np.array([i for _, i in pairs], np.int64)
         self.known = np.unique(self.gram)
@@ -139,8 +142,8 @@ class _Seeds:
         return at[self.known[near] == found[at]]
 
 
-def _blocks(batch):
-    data, off = text_buffers(batch.column(1))
+def _blocks(column: pa.Array):
+    data, off = text_buffers(column)
     for lo, hi in row_blocks(off, 1 << 19):
         part, at = data[off[lo] : off[hi]], off[lo : hi + 1] - off[lo]
         hashed, starts, ends, first = _words(part, at)
@@ -156,78 +159,98 @@ def _can_reach(item: np.ndarray, text: np.ndarray, least: float) -> bool:
     return most / len(item) >= least
 
 
+def _hits(seeds: _Seeds, column: pa.Array, least: float):
+    """Of the texts in ``column``: row, place of the item, score, start, end, passage of every pair that reaches ``least``."""
+    for lo, part, off, hashed, starts, ends, first in _blocks(column):
+        pairs: dict[tuple[int, int], list[int]] = {}
+        for n in seeds.sizes:
+            found, doc = shingles(hashed, first, n)
+            at = seeds.find(found)
+            # words where each seed stands, then the items that it belongs to
+            word = first[doc[at]] + at - np.searchsorted(doc, doc[at])
+            left, right = np.searchsorted(seeds.gram, found[at], "left"), np.searchsorted(seeds.gram, found[at], "right")
+            for d, w, a, b in zip(doc[at].tolist(), word.tolist(), left.tolist(), right.tolist(), strict=True):
+                if w + n <= first[d + 1]:  # a shorter text gives the hash of all its words
+                    for i in seeds.item[a:b].tolist():
+                        pairs.setdefault((d, i), []).append(w)
+        for (d, i), places in pairs.items():
+            item = seeds.items[i]
+            reach = 2 * len(item) + 8
+            best, begin = (0, 0, 0), 0
+            lo_w, hi_w = int(first[d]), int(first[d + 1])
+            j = 0
+            while j < len(places):  # one alignment for each cluster of seeds
+                k = j
+                while k + 1 < len(places) and places[k + 1] - places[k] <= reach:
+                    k += 1
+                a, b = max(lo_w, places[j] - reach), min(hi_w, places[k] + reach)
+                if _can_reach(item, hashed[a:b], least):
+                    got = align(item, hashed[a:b])
+                    if got[0] > best[0]:
+                        best, begin = got, a
+                j = k + 1
+            score = best[0] / (2 * len(item))
+            if score >= least:
+                s, e = int(starts[begin + best[1]]), int(ends[begin + best[2] - 1])
+                yield lo + d, i, score, s - int(off[d]), e - int(off[d]), part[s:e].tobytes().decode("utf-8", "replace")
+
+
+def _benchmark_blocks(benchmark: DataFrame):
+    """The items, in blocks of at most ``BLOCK`` bytes of word hashes (or one item); one block is held at a time."""
+    block: list[tuple[int, np.ndarray]] = []
+    held = 0
+    for r in benchmark.select(benchmark["item_id"].cast("long").alias("item_id"), benchmark["text"].alias("text")).where("text is not null").orderBy("item_id", "text").toLocalIterator():
+        words = word_hashes(r["text"])
+        if not len(words):
+            continue
+        if block and held + words.nbytes > BLOCK:
+            yield _Seeds(block)
+            block, held = [], 0
+        block.append((r["item_id"], words))
+        held += words.nbytes
+    if block:
+        yield _Seeds(block)
+
+
 def contaminated(docs: DataFrame, benchmark: DataFrame, least: float = LEAST, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Pairs: doc_id, item_id, score, start, end (bytes of the aligned stretch), passage."""
-    spark = docs.sparkSession
-    small_batches(spark)
+    small_batches(docs.sparkSession)
     base = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text"))
     schema = "doc_id long, item_id long, score double, start long, end long, passage string"
     arrow = arrow_schema(schema)
-    results = []
-    block: list[tuple[int, np.ndarray]] = []
-    held = 0
-
-    def search(items):
-        seeds = _Seeds(items)
 
+    def search(seeds: _Seeds) -> DataFrame:
         def run(batches):
             for batch in batches:
-                ids = batch.column(0).to_pylist()
-                rows: list[tuple] = []
-                for lo, part, off, hashed, starts, ends, first in _blocks(batch):
-                    pairs: dict[tuple[int, int], list[int]] = {}
-                    for n in seeds.sizes:
-                        found, doc = shingles(hashed, first, n)
-                        at = seeds.find(found)
-                        # words where each seed stands, then the items that it belongs to
-                        word = first[doc[at]] + at - np.searchsorted(doc, doc[at])
-                        left, right = np.searchsorted(seeds.gram, found[at], "left"), np.searchsorted(seeds.gram, found[at], "right")
-                        for d, w, a, b in zip(doc[at].tolist(), word.tolist(), left.tolist(), right.tolist(), strict=True):
-                            if w + n <= first[d + 1]:  # a shorter text gives the hash of all its words
-                                for i in seeds.item[a:b].tolist():
-                                    pairs.setdefault((d, i), []).append(w)
-                    for (d, i), places in pairs.items():
-                        item = seeds.items[i]
-                        reach = 2 * len(item) + 8
-                        best, begin = (0, 0, 0), 0
-                        lo_w, hi_w = int(first[d]), int(first[d + 1])
-                        j = 0
-                        while j < len(places):  # one alignment for each cluster of seeds
-                            k = j
-                            while k + 1 < len(places) and places[k + 1] - places[k] <= reach:
-                                k += 1
-                            a, b = max(lo_w, places[j] - reach), min(hi_w, places[k] + reach)
-                            if _can_reach(item, hashed[a:b], least):
-                                got = align(item, hashed[a:b])
-                                if got[0] > best[0]:
-                                    best, begin = got, a
-                            j = k + 1
-                        score = best[0] / (2 * len(item))
-                        if score >= least:
-                            s, e = int(starts[begin + best[1]]), int(ends[begin + best[2] - 1])
-                            rows.append((ids[lo + d], i, score, s - int(off[d]), e - int(off[d]), part[s:e].tobytes().decode("utf-8", "replace")))
+                ids = batch.column(0)
+                rows = [(ids[d].as_py(), seeds.ids[i], *found) for d, i, *found in _hits(seeds, batch.column(1), least)]
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), arrow, strict=True)], schema=arrow)
 
-        results.append(base.mapInArrow(run, schema))
+        return base.mapInArrow(run, schema)
 
-    for r in benchmark.select("item_id", "text").where("text is not null and item_id is not null").orderBy("item_id").toLocalIterator():
-        words = word_hashes(r["text"])
-        if not len(words):
-            continue
-        if held + words.nbytes > BLOCK:
-            search(block)
-            block, held = [], 0
-        block.append((r["item_id"], words))
-        held += words.nbytes
-    search(block)
-    out = results[0]
-    for more in results[1:]:
-        out = out.unionByName(more)
-    return out
+    out = None
+    for seeds in _benchmark_blocks(benchmark):
+        more = search(seeds)
+        out = more if out is None else out.unionByName(more)
+    return out if out is not None else docs.sparkSession.createDataFrame([], schema)
+
+
+def clean(docs: DataFrame, benchmark: DataFrame, least: float = LEAST, text_col: str = "text") -> DataFrame:
+    """``docs`` without the rows that hold a benchmark passage; every row is judged by its own text, whatever its id."""
+    small_batches(docs.sparkSession)
+    at = docs.columns.index(text_col)
+
+    def keep(docs: DataFrame, seeds: _Seeds) -> DataFrame:
+        def run(batches):
+            for batch in batches:
+                mask = np.ones(batch.num_rows, bool)
+                for d, *_ in _hits(seeds, batch.column(at), least):
+                    mask[d] = False
+                yield batch.filter(pa.array(mask))
 
+        return docs.mapInArrow(run, docs.schema)
 
-def clean(docs: DataFrame, benchmark: DataFrame, least: float = LEAST, id_col: str = "doc_id") -> DataFrame:
-    """``docs`` without the documents that hold a benchmark passage."""
-    bad = contaminated(docs, benchmark, least, id_col).select(F.col("doc_id").alias("_bad")).distinct()
-    return docs.join(bad, docs[id_col] == F.col("_bad"), "left_anti")
+    for seeds in _benchmark_blocks(benchmark):
+        docs = keep(docs, seeds)
+    return docs
