@@ -51,7 +51,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a passage of ``benchmark`` go."""
-    return _documents(decontaminate.clean(_keyed(docs), spark.read.parquet(f"{sf_dir}/benchmark.parquet"), id_col="_key"))
+    return decontaminate.clean(_documents(docs), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -63,6 +63,7 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def token_files(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every row as token ids in encoded blocks, read back: doc_id, start, n_tokens, ids_crc32."""
     return rans.token_files(docs)
 
 
