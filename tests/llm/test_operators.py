@@ -304,6 +304,40 @@ def test_shards(docs, none, spark):
     assert sharding.kd_shards(none, 3).count() == 0
 
 
+def test_shards_keep_equal_texts_together(spark):
+    """No group of equal texts is split but one that is larger than a shard; sizes stay within 3 %."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    got = sharding.kd_shards(docs, 24).toPandas()
+    assert len(got) == docs.count() and sorted(got.shard.unique()) == list(range(24))
+    assert got.groupby("text_crc32").shard.nunique().max() == 1
+    sums = got.groupby("shard")["size"].sum()
+    assert sums.max() < 1.03 * sums.min()
+    more = docs.select("doc_id", "text", "lang", "source").unionByName(spark.range(10_000, 10_900).selectExpr("id as doc_id", "repeat('same ', 200) as text", "null as lang", "null as source"))
+    got = sharding.kd_shards(more, 24).toPandas()
+    sums = got.groupby("shard")["size"].sum()
+    split = got.groupby("text_crc32").shard.nunique()
+    assert (split > 1).sum() == 1 and sums.max() < 1.03 * sums.min()
+
+
+def test_shards_rank_whole_values(spark):
+    """Sources that begin alike are told apart; null is not the empty source."""
+    rows = spark.createDataFrame([(i, s, "en") for i, s in enumerate([None, "", "src1", "src10", "src19", "src2", "src10"])], "doc_id long, source string, lang string")
+    got = {(r["doc_id"], r["_source"]) for r in sharding._ranked(rows.withColumn("_text", rows["doc_id"]), "source").collect()}
+    assert got == {(0, 0), (1, 1), (2, 2), (3, 3), (6, 3), (4, 4), (5, 5)}
+
+
+def test_mix_comes_near_its_targets(spark):
+    """On a whole table every source takes its target to within its largest document, and reruns agree."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    got = mixing.mix(docs).toPandas()
+    by = got.groupby("source", dropna=False).agg(taken=("taken", "sum"), target=("target", "first"), most=("size", "max"), size=("size", "sum"))
+    assert ((by.taken - by.target).abs() <= by.most).all() and (by.target <= 3 * by["size"] + 1e-6).all()
+    assert abs(by.target.sum() - got["size"].sum()) < 1
+    again = mixing.mix(docs).toPandas()
+    key = ["doc_id", "taken"]
+    assert got[key].sort_values(key).to_numpy().tolist() == again[key].sort_values(key).to_numpy().tolist()
+
+
 def test_mix(docs, none):
     rows = mixing.mix(docs).collect()
     assert len(rows) == len(DOCS)
