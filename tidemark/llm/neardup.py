@@ -16,7 +16,8 @@
    member is linked to it, which joins all such pairs.
 5. What is left are pairs that share a difference.  ``(100 + percent) * shared >= cost_a + cost_b - W``
    bounds how many they must share, so differences are posted by prefix again, rarest first, and
-   pairs meet only if both have enough that others share.  These candidates are confirmed on the sets.
+   pairs meet only where both have enough left that others share.  These candidates are confirmed on
+   the sets.
 
 Lists of near copies grow with their group, and so do the rows made here, but not with its square:
 near copies differ from their leader each in its own way.  Hot lists and leaders are dealt over
@@ -192,11 +193,17 @@ def _differences(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame
     return both.select("head", "rep", "cost", "w", "f", F.when(fits, F.slice(order, 1, take)).alias("post"))
 
 
-def _candidates(members: DataFrame, roots: DataFrame, sets: DataFrame) -> DataFrame:
-    """Pairs ``a, b`` of different components that share a difference from a leader and may share enough."""
+def _candidates(members: DataFrame, roots: DataFrame, percent: int) -> DataFrame:
+    """Pairs ``a, b`` of different components that share a difference from a leader and may share enough.
+
+    ``f`` of a posting counts only what stands at its place or later: the first difference that a
+    pair shares has all others behind it.  Pairs that the cheapest member joins are not looked for.
+    """
     mine = members.join(roots, F.col("rep") == F.col("node"), "left").select("head", "rep", "cost", "w", "f", "post", F.coalesce("root", "rep").alias("comp"))
-    several = mine.groupBy("head").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("head")
-    rows = mine.where(F.size("post") > 0).join(several, "head", "left_semi").select("head", "rep", "cost", "w", "f", "comp", F.explode("post").alias("d"))
+    several = mine.groupBy("head").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min("cost").alias("least"), F.min(F.when(F.size("post") > 0, F.col("cost"))).alias("low"))
+    several = several.where("lo <> hi").select("head", "least", "low")
+    rows = mine.where(F.size("post") > 0).join(several, "head").select("head", "rep", "cost", "w", "f", "comp", "least", "low", F.posexplode("post").alias("at", "d"))
+    rows = rows.withColumn("f", F.col("f") - (100 + percent) * F.col("at")).where("f > -least OR (cost + least > w AND f >= low - w)").drop("at", "least", "low")
     shared = rows.groupBy("head", "d").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("head", "d")
     rows = materialize(rows.join(shared, ["head", "d"], "left_semi"), "minhash-differences")
     side = lambda s: rows.select("head", "d", *[F.col(c).alias(f"{c}_{s}") for c in ("rep", "cost", "f", "comp")], *["w"] * (s == "a"))
@@ -235,7 +242,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     counts = differ.groupBy("head").agg(F.count(F.lit(1)).alias("_n"))
     star = _salted(differ.select("head", "rep", "cost", "w").join(counts, "head"), cheapest.drop("_").join(counts, "head"), "head", "rep", "_n")
     links = materialize(star.where("rep <> b AND cost + least_cost <= w").select(F.col("rep").alias("a"), "b").distinct(), "minhash-links")
-    more = _confirmed(_candidates(differ, components(links), sets), sets, percent)
+    more = _confirmed(_candidates(differ, components(links), percent), sets, percent)
     roots = components(links.unionByName(more))
 
     rooted = named.join(roots, F.col("rep") == F.col("node"), "left").select("least", *key, F.coalesce("root", "rep").alias("root"))
