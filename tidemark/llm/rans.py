@@ -31,7 +31,7 @@ from .common import arrow_schema, discard, materialize, new_path, partitions, ru
 SCALE, LANES, BLOCK, EVERY = 20, 2048, 1 << 18, 32
 MAGIC = b"TMRANS2\0"
 #: Characters that are encoded at once.
-SOME = 8 << 20
+SOME = 4 << 20
 _U32, _LOW = np.uint64(32), np.uint64(1 << 31)
 
 
@@ -177,7 +177,7 @@ class Pieces(dict):
     """
 
     #: Bytes that the memory may take in a worker, and what an entry takes beside its text and ids.
-    LIMIT, ENTRY = 240 << 20, 200
+    LIMIT, ENTRY = 120 << 20, 200
 
     def __init__(self, path: str, pattern: str):
         import regex
@@ -189,6 +189,7 @@ class Pieces(dict):
         self.kind = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
         self.code = "H" if self.kind.itemsize == 2 else "I"
         self.held = 0
+        self.once = bytearray(1 << 23)
         self.led: dict[str, bytes] = {}  # the pieces that a space leads, without it
         # the printable stand-ins of bytes in byte-level vocabularies
         shown = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]
@@ -202,7 +203,11 @@ class Pieces(dict):
         return self._keep(self.led, word, self._piece(" " + word))
 
     def _keep(self, where: dict[str, bytes], piece: str, got: bytes) -> bytes:
-        if self.held < self.LIMIT:
+        """Remembers what is asked for twice; most distinct words never are."""
+        at = hash(piece) & 0x7FFFFF
+        if not self.once[at]:
+            self.once[at] = 1
+        elif self.held < self.LIMIT:
             self.held += self.ENTRY + len(piece) + len(got)
             where[piece] = got
         return got
@@ -263,7 +268,9 @@ class Pieces(dict):
         begin = np.cumsum(size) - size
         n = size[code]
         end = np.cumsum(n)
-        ids = np.frombuffer(b"".join(known), self.kind)[np.arange(end[-1]) + np.repeat(begin[code] - (end - n), n)]
+        at = np.repeat((begin[code] - (end - n)).astype(np.int32), n)
+        at += np.arange(len(at), dtype=np.int32)
+        ids = np.frombuffer(b"".join(known), self.kind)[at]
         cut = np.append(0, end)[off]
         for j, i in enumerate(plain):
             out[i] = ids[cut[j] : cut[j + 1]]
