@@ -94,6 +94,42 @@ def test_suffixes(docs, none):
     assert suffixes.remove_repeats(none).count() == 0
 
 
+def test_suffixes_of_a_table(spark):
+    """Whole table of sf0.001 (every document), against brute force."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    rows = [(r["doc_id"], r["text"]) for r in docs.select("doc_id", "text").collect()]
+    got = {r["doc_id"]: r for r in suffixes.remove_repeats(docs).collect()}
+    for i, (n, gone, runs, kept) in brute.remove_repeats(rows).items():
+        assert (got[i]["n_bytes"], got[i]["n_removed"], got[i]["n_spans"], got[i]["kept_sha256"]) == (n, gone, runs, hashlib.sha256(kept).hexdigest())
+
+
+def test_suffixes_of_periodic_and_overlapping_texts(spark):
+    """One character, short periods, repeats that begin and end anywhere, a repeat of just 99 and 100 bytes."""
+    rng = np.random.default_rng(4)
+    letters = "".join(chr(97 + x) for x in rng.integers(0, 26, 4000))
+    rows = [(1, "x" * 5000), (2, "x" * 150), (3, "abcdefg" * 400), (4, "y" + "abcdefg" * 30), (5, letters[:1500]), (6, letters[700:2000] + "!" + letters[:400])]
+    rows += [(7, "A" + letters[2500:2599] + "B"), (8, "C" + letters[2500:2599] + "D" + letters[3000:3100]), (9, letters[3000:3100]), (10, "é" * 200), (11, None), (12, "")]
+    got = {r["doc_id"]: r for r in suffixes.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for i, (n, gone, runs, kept) in brute.remove_repeats(rows).items():
+        assert (got[i]["n_bytes"], got[i]["n_removed"], got[i]["n_spans"], got[i]["kept_sha256"]) == (n, gone, runs, hashlib.sha256(kept).hexdigest()), i
+
+
+def test_suffixes_double_to_any_length(spark):
+    """The doubling alone, on all windows, for thresholds that are no power of two."""
+    text_ = "".join(chr(97 + x) for x in np.random.default_rng(5).integers(0, 2, 600))
+    for length in (4, 7, 13, 25):
+        assert suffixes._prefixes(length)[-1] == length
+        n = len(text_) - length + 1
+        rows = spark.createDataFrame([(0, text_, [(0, n)])], "key long, text string, spans array<struct<o:int,n:int>>")
+        got = {r["pos"] for r in suffixes._repeated(suffixes.materialize(suffixes._pairs(rows, length, 20), "test"), length).collect()}
+        seen, want = set(), set()
+        for s in range(n):
+            if text_[s : s + length] in seen:
+                want.add(s)
+            seen.add(text_[s : s + length])
+        assert got == want
+
+
 def test_suffixes_with_repeated_ids(docs):
     assert suffixes.remove_repeats(docs.unionByName(docs)).count() == 2 * len(DOCS)
 

@@ -105,6 +105,18 @@ def running_totals(df: DataFrame, order: list, total: str, groups: list[str] = (
     )
 
 
+#: Rows of one key that a salted part takes.
+PART = 4096
+
+
+def salted(rows: DataFrame, one: DataFrame, key: str | list[str], by: str, count: str, how: str = "inner") -> DataFrame:
+    """``rows`` joined with ``one`` row for each ``key``, whose ``count`` (in both) says over how many parts it is dealt by ``by``."""
+    parts = lambda c: F.floor(F.col(c) / PART).cast("int") + 1
+    one = one.withColumn("_salt", F.explode(F.sequence(F.lit(0), parts(count) - 1))).drop(count)
+    rows = rows.withColumn("_salt", F.pmod(F.xxhash64(by), parts(count)).cast("int"))
+    return rows.join(one, [*([key] if isinstance(key, str) else key), "_salt"], how).drop("_salt")
+
+
 def text_buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Bytes and offsets of an Arrow string column; nulls count as empty texts."""
     if column.null_count:

@@ -37,14 +37,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_schema, discard, materialize, partitions, row_blocks, small_batches, text_buffers
+from .common import arrow_schema, discard, materialize, partitions, row_blocks, salted, small_batches, text_buffers
 from .kernels import COEF_LOWER, _splitmix, mix, prefix_hash, shingles, span_hash, words
 
 K = 64
 _A = _splitmix(K, 101) | np.uint64(1)
 _B = _splitmix(K, 202)
-#: Members of a list or a leader that one salted part takes.
-PART = 4096
 #: Set numbers that may be broadcast.
 FEW = 1_000_000
 #: Bits of a shingle's hash below the level of its count.
@@ -139,14 +137,6 @@ def agreement(threshold: float) -> int:
     return max(1, int(K * threshold - 6.5 * math.sqrt(K * threshold * (1 - threshold))))
 
 
-def _salted(rows: DataFrame, one: DataFrame, key: str, by: str, count: str) -> DataFrame:
-    """``rows`` joined with ``one`` row for each ``key``, whose ``count`` says over how many parts it is dealt by ``by``."""
-    parts = lambda c: F.floor(F.col(c) / PART).cast("int") + 1
-    one = one.withColumn("_salt", F.explode(F.sequence(F.lit(0), parts(count) - 1))).drop(count)
-    rows = rows.withColumn("_salt", F.pmod(F.xxhash64(by), parts(count)).cast("int"))
-    return rows.join(one, [key, "_salt"]).drop("_salt")
-
-
 def _posts(reps: DataFrame, t: int) -> DataFrame:
     """``rep, key, df, score``: the rarest shared coordinate values of every set that shares ``t`` or more."""
     n = partitions(reps.sparkSession)
@@ -179,7 +169,7 @@ def _differences(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame
     head = sets.select(F.col("rep").alias("head"), F.col("ys").alias("ps"))
     counts = members.groupBy("head").agg(F.count(F.lit(1)).alias("_n"))
     mine = members.join(counts, "head").join(sets, "rep")
-    both = _salted(mine, head.join(counts, "head"), "head", "rep", "_n")
+    both = salted(mine, head.join(counts, "head"), "head", "rep", "_n")
     both = both.select("head", "rep", "size", F.size("ys").alias("known"), F.size("ps").alias("np"), F.array_except("ps", "ys").alias("lacks"), F.array_except("ys", "ps").alias("adds"))
     m, lone = F.size("lacks"), F.col("size") - F.col("known")
     both = both.withColumns({"m": m.cast("long"), "o": F.size("adds") + lone, "w": ((100 - percent) * F.col("np")).cast("long")})
@@ -233,14 +223,14 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     # every list has the leader with the most company; a list that lost all members but one is out
     able = posts.join(sets.select("rep"), "rep", "left_semi")
     heads = able.groupBy("key").agg(F.max(F.struct("score", "rep")).alias("h"), F.count(F.lit(1)).alias("n"), F.first("df").alias("df")).where("n > 1")
-    led = _salted(able.select("key", "rep", "df"), heads.select("key", F.col("h.rep").alias("head"), "df"), "key", "rep", "df")
+    led = salted(able.select("key", "rep", "df"), heads.select("key", F.col("h.rep").alias("head"), "df"), "key", "rep", "df")
     members = materialize(led.select("head", "rep").distinct(), "minhash-members")
     discard(posts)
 
     differ = materialize(_differences(members, sets, percent), "minhash-differ")
     cheapest = differ.groupBy("head").agg(F.min(F.struct("cost", "rep")).alias("c")).select("head", F.col("c.rep").alias("b"), F.col("c.cost").alias("least_cost"), F.lit(0).cast("long").alias("_"))
     counts = differ.groupBy("head").agg(F.count(F.lit(1)).alias("_n"))
-    star = _salted(differ.select("head", "rep", "cost", "w").join(counts, "head"), cheapest.drop("_").join(counts, "head"), "head", "rep", "_n")
+    star = salted(differ.select("head", "rep", "cost", "w").join(counts, "head"), cheapest.drop("_").join(counts, "head"), "head", "rep", "_n")
     links = materialize(star.where("rep <> b AND cost + least_cost <= w").select(F.col("rep").alias("a"), "b").distinct(), "minhash-links")
     more = _confirmed(_candidates(differ, components(links), percent), sets, percent)
     roots = components(links.unionByName(more))
