@@ -70,6 +70,31 @@ def test_fingerprints(docs, none):
     assert syncmers.fingerprint_pairs(none).count() == 0
 
 
+def test_fingerprints_by_definition(spark):
+    """All closed syncmers by their definition, of a whole small table; repeated rows and rows without an id."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
+    rows = [(r["doc_id"], r["text"]) for r in docs.collect()]
+    got = {r["doc_id"]: r for r in syncmers.fingerprint_pairs(docs).collect()}
+    for i, t in rows[:60]:
+        data = (t or "").encode()
+        if len(data) < syncmers.K:
+            continue
+        inner = [int(syncmers.gram_hash(syncmers.prefix_hash(np.frombuffer(data[j : j + syncmers.S], np.uint8)), syncmers.S)[0]) for j in range(len(data) - syncmers.S + 1)]
+        w = syncmers.K - syncmers.S + 1
+        at = [j for j in range(len(data) - syncmers.K + 1) if min(inner[j : j + w]) in (inner[j], inner[j + w - 1])]
+        assert at == syncmers.syncmers(data)[1].tolist()
+        assert set(syncmers.from_hex(got[i]["fingerprint"])[1].tolist()) <= set(at)
+    odd = spark.createDataFrame([(1, "a" * 50, 1), (1, "a" * 50, 2), (None, "b" * 30, 3), (2, None, 4)], "doc_id long, text string, part int")
+    found = syncmers.fingerprint_pairs(odd).collect()
+    assert sorted((r["doc_id"] or 0, r["n_chars"]) for r in found) == [(0, 30), (1, 50), (1, 50), (2, 0)]
+
+
+def test_fingerprint_positions_hold_any_place():
+    h, at = np.array([5, (1 << 33) - 1], np.uint64), np.array([(1 << 31) - 1, 0])
+    a, b = syncmers.from_hex(syncmers.to_hex(h, at))
+    assert (a == h).all() and (b == at).all()
+
+
 @pytest.mark.parametrize("n", [1000, 5000, 20_000])
 def test_fingerprints_keep_passages_of_long_texts(spark, n):
     """A 60-word passage in two otherwise different texts has its anchors in both fingerprints, on one diagonal."""
@@ -225,6 +250,41 @@ def test_language(docs, none):
     assert {r["lang_pred"] for r in language.identify(docs, None).collect()} == {"und"}
 
 
+def test_language_features():
+    """Words are letters of any script; punctuation beyond ASCII parts them, letters count once, scripts go by code point."""
+    t = "“word” Ђурађ नमस्ते ไทย 日本 abc—déf ½²"
+    raw = np.frombuffer(t.encode(), np.uint8)
+    starts, ends, first, _, _, script, size = language._features(raw, np.array([0, len(raw)]))
+    assert [raw[a:b].tobytes().decode() for a, b in zip(starts, ends, strict=True)] == ["word", "Ђурађ", "नमस्ते", "ไทย", "日本", "abc", "déf"]
+    assert [language.SCRIPTS[i][1] for i in script] == ["ascii", "cyrillic", "devanagari", "thai", "han", "ascii", "latin-1"]
+    assert size.tolist() == [4, 5, 6, 3, 2, 3, 3] and first.tolist() == [0, 7]
+    assert len(language._features(raw[:0], np.array([0, 0]))[0]) == 0
+
+
+def test_language_accuracy_on_held_out_rows(spark):
+    from pyspark.sql import functions as F
+
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    model = language.train(docs.where(~language.held_out(F.col("doc_id"))))
+    found = language.identify(docs.where(language.held_out(F.col("doc_id"))), model).join(docs.select("doc_id", "lang"), "doc_id").where("lang is not null").collect()
+    assert len(found) > 200 and sum(r["lang"] == r["lang_pred"] for r in found) >= 0.98 * len(found)
+    assert all(0 <= r["score"] <= 1 for r in found)
+
+
+def test_language_odd_rows(spark):
+    """Repeated rows, a tie between languages, two languages in one text, a very long text."""
+    rows = [(i, "ab ab ab" if i % 2 else "yz yz yz", "p" if i % 2 else "q") for i in range(20)]
+    model = language.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    more = [(1, "ab ab", 1), (1, "ab ab", 1), (2, "ab ab ab ab ab ab yz yz yz yz yz yz", 2), (3, "yz " * 300_000, 3), (None, "yz", 4)]
+    got = language.identify(spark.createDataFrame(more, "doc_id long, text string, lang int"), model).collect()
+    by = {}
+    for r in got:
+        by.setdefault(r["doc_id"], []).append(r)
+    assert len(by[1]) == 2 and by[1][0] == by[1][1] and by[1][0]["lang_pred"] == "p"
+    assert (by[2][0]["lang_pred"], by[2][0]["score"], [x["lang"] for x in by[2][0]["spans"]]) == ("p", 0.5, ["p", "q"])
+    assert by[3][0]["lang_pred"] == by[None][0]["lang_pred"] == "q"
+
+
 def test_viterbi_is_exact():
     from itertools import product
 
@@ -382,6 +442,22 @@ def test_mix(docs, none):
     assert mixing.mix(none).count() == 0
 
 
+def test_url_trees_on_held_out_pages(spark):
+    """Trees trained on about 500 of the labelled pages agree with the rules on the others better than the commoner label does."""
+    pages = spark.read.parquet("/root/testdata/sf0.1/pages.parquet")
+    got = [r for r in urls.judge(pages, max_train=500).collect() if r["rule"] is not None]
+    right = sum((r["block_probability"] >= 0.5) == (r["verdict"] == "block") for r in got) / len(got)
+    share = sum(r["verdict"] == "block" for r in got) / len(got)
+    assert len(got) > 900 and right > 0.9 and right >= max(share, 1 - share)
+
+
+def test_urls_odd_rows(spark):
+    long = "http://a.com/de/" + "x" * 200_000
+    rows = [(1, long, "h"), (1, long, "h"), (2, "", "h"), (None, "http://b.org/", None), (3, "http://É.ORG/Ä?", "")]
+    got = sorted((r["page_id"] or 0, r["host"], r["path"][:4], r["rule"], r["verdict"]) for r in urls.judge(spark.createDataFrame(rows, "page_id long, url string, host string")).collect() if r["rule"])
+    assert got == [(0, "b.org", "/", "org/", "allow"), (1, "a.com", "/de/", "com/de/", "block"), (1, "a.com", "/de/", "com/de/", "block"), (3, "É.org", "/Ä", "org/", "allow")]
+
+
 def test_urls(spark):
     pages = spark.createDataFrame([(1, "https://A.example.org/es/1?x#y"), (2, "http://b.com/de/3"), (3, None), (4, "nothing"), (5, "http://x.net/"), (6, "http://example.org/en/12"), (7, "http://c.com?x=/fr/")], "page_id long, url string")
     got = {r["page_id"]: r for r in urls.judge(pages).collect()}

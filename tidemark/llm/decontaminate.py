@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from .common import arrow_schema, row_blocks, small_batches, text_buffers
-from .kernels import COEF_LOWER, prefix_hash, shingles, span_hash
+from .kernels import COEF_LOWER, code_points, prefix_hash, shingles, span_hash
 
 N, LEAST, BLOCK = 4, 0.5, 4 << 20
 WORD = np.zeros(256, bool)
@@ -54,18 +54,12 @@ def _kinds() -> np.ndarray:
 
 def _kind_of_bytes(data: np.ndarray) -> np.ndarray:
     kind = WORD[data].astype(np.uint8)
-    lead = np.flatnonzero(data >= 0xC0)
-    if len(lead):
-        wide = np.append(data, np.zeros(3, np.uint8)).astype(np.int64)
-        b, length = wide[lead], 2 + (data[lead] >= 0xE0) + (data[lead] >= 0xF0)
-        point = b & (0xFF >> (length + 1))
-        for j in range(1, 4):
-            point = np.where(length > j, (point << 6) | (wide[lead + np.minimum(j, length - 1)] & 63), point)
-        found = _kinds()[np.minimum(point, 0x10FFFF)]
-        for j in range(4):
-            at = lead[length > j] + j
-            inside = at < len(data)
-            kind[at[inside]] = found[length > j][inside]
+    lead, point, length = code_points(data)
+    found = _kinds()[point]
+    for j in range(4):
+        at = lead[length > j] + j
+        inside = at < len(data)
+        kind[at[inside]] = found[length > j][inside]
     return kind
 
 

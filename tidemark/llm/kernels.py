@@ -75,6 +75,17 @@ def sliding_min(x: np.ndarray, w: int) -> np.ndarray:
     return np.minimum(out[:-rest], out[rest:]) if rest else out
 
 
+def code_points(data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Place of the first byte, code point and number of bytes of every character beyond ASCII in valid UTF-8."""
+    lead = np.flatnonzero(data >= 0xC0)
+    wide = np.append(data, np.zeros(3, np.uint8)).astype(np.int64)
+    length = 2 + (data[lead] >= 0xE0) + (data[lead] >= 0xF0)
+    point = wide[lead] & (0xFF >> (length + 1))
+    for j in range(1, 4):
+        point = np.where(length > j, (point << 6) | (wide[lead + np.minimum(j, length - 1)] & 63), point)
+    return lead, np.minimum(point, 0x10FFFF), length
+
+
 def words(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Starts and ends of ``[^\\x20\\x09-\\x0D]+`` in each text, and how many words precede each text.
 

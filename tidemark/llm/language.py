@@ -1,11 +1,12 @@
 """Language ID of mixed-language text: script ranges, per-word scores, Viterbi with a switching penalty.
 
-Training counts, by language, hashed byte grams of 2 to 4 bytes of lower-cased words with their edges and the scripts
-of letters.  A word's candidates are the languages that use its rarest script (at least ``SHARE`` of
+Training counts, by language, hashed byte grams of 2 to 4 bytes of lower-cased words (runs of letters and
+their marks) with their edges and the scripts of letters, by code point.  A word's candidates are the languages that use its rarest script (at least ``SHARE`` of
 their letters in training); its score for each is the mean-scaled log probability of its grams.
 Viterbi labels every word at a cost of ``PENALTY`` for each switch.  Successive words that put all
 languages in the same order are one step: a best path never switches inside them.  The document's
-language is the one with the most letters; ``score`` is its share of them.
+language is the one with the most letters (characters, not bytes; the first by name if equal); ``score``
+is its share of them.
 
 Texts that are null or have no letter are ``und`` with score 0.  Without training rows every other
 text is ``und`` too.  Rows are kept as they come; repeated rows repeat.  About
@@ -14,7 +15,8 @@ text is ``und`` too.  Rows are kept as they come; repeated rows repeat.  About
 
 from __future__ import annotations
 
-import re
+import functools
+import unicodedata
 
 import numpy as np
 import pyarrow as pa
@@ -22,37 +24,44 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import arrow_schema, row_blocks, small_batches, text_buffers
-from .kernels import LOWER, gram_hash, prefix_hash
+from .kernels import LOWER, code_points, gram_hash, prefix_hash
 
 BUCKETS, PENALTY, SHARE, MAX_TRAIN = 1 << 16, 6.0, 1e-4, 4000
 GRAMS = (2, 3, 4)
 #: Script ranges by the last code point of each range.
-SCRIPTS = ((0x7F, "ascii"), (0xFF, "latin-1"), (0x24F, "latin-extended"), (0x36F, "other"), (0x3FF, "greek"), (0x52F, "cyrillic"), (0x5FF, "hebrew-armenian"), (0x7FF, "arabic"), (0x10FF, "indic"), (0x11FF, "hangul-jamo"), (0x2FFF, "other-2"), (0x30FF, "kana"), (0xABFF, "han"), (0xD7FF, "hangul"), (0x10FFFF, "other-3"))
-_LETTER = re.compile(r"[^\W\d_]")
+SCRIPTS = (
+    (0x7F, "ascii"), (0xFF, "latin-1"), (0x24F, "latin-extended"), (0x36F, "phonetic"), (0x3FF, "greek"), (0x52F, "cyrillic"), (0x58F, "armenian"), (0x5FF, "hebrew"), (0x6FF, "arabic"),
+    (0x8FF, "syriac-to-samaritan"), (0x97F, "devanagari"), (0x9FF, "bengali"), (0xA7F, "gurmukhi"), (0xAFF, "gujarati"), (0xB7F, "oriya"), (0xBFF, "tamil"), (0xC7F, "telugu"), (0xCFF, "kannada"),
+    (0xD7F, "malayalam"), (0xDFF, "sinhala"), (0xE7F, "thai"), (0xEFF, "lao"), (0xFFF, "tibetan"), (0x109F, "burmese"), (0x10FF, "georgian"), (0x11FF, "hangul-jamo"), (0x139F, "ethiopic"),
+    (0x177F, "cherokee-to-tagalog"), (0x17FF, "khmer"), (0x18AF, "mongolian"), (0x1DFF, "limbu-to-phonetic"), (0x1EFF, "latin-additional"), (0x1FFF, "greek-extended"), (0x2E7F, "symbols"),
+    (0x303F, "han-radicals"), (0x30FF, "kana"), (0x318F, "bopomofo-hangul"), (0x31EF, "bopomofo-more"), (0x31FF, "kana-more"), (0x9FFF, "han"), (0xABFF, "yi-to-meetei"), (0xD7FF, "hangul"),
+    (0xFAFF, "han-compatible"), (0xFFFF, "forms"), (0x1FFFF, "historic"), (0x10FFFF, "han-more"),
+)
 
 
-def _script_of_bytes() -> np.ndarray:
-    """A lead byte's script range (two-byte forms exactly, longer forms by their first byte)."""
-    out = np.zeros(256, np.int64)
-    for b in range(0xC2, 0xE0):
-        at = (b & 0x1F) << 6
-        out[b] = next(i for i, (last, _) in enumerate(SCRIPTS) if at <= last)
-    for b in range(0xE0, 0xF0):
-        at = max(0x800, (b & 0xF) << 12)
-        out[b] = next(i for i, (last, _) in enumerate(SCRIPTS) if at <= last)
-    out[0xF0:] = len(SCRIPTS) - 1
-    return out
+@functools.cache
+def _tables() -> tuple[np.ndarray, np.ndarray]:
+    """For each code point the number of its script, and whether it is a letter or a mark on one."""
+    script = np.searchsorted([last for last, _ in SCRIPTS], np.arange(0x110000)).astype(np.uint8)
+    letter = np.zeros(0x110000, bool)
+    letter[[c for c in range(0x32000) if unicodedata.category(chr(c))[0] in "LM"]] = True
+    return script, letter
 
 
-SCRIPT = _script_of_bytes()
-WORD = np.zeros(256, bool)
-WORD[65:91] = WORD[97:123] = True
-WORD[128:] = True
+ASCII_LETTER = np.zeros(256, bool)
+ASCII_LETTER[65:91] = ASCII_LETTER[97:123] = True
 
 
 def _features(data: np.ndarray, off: np.ndarray):
-    """Words (starts, ends, words before each text), and for each gram its word and bucket."""
-    solid = np.append(WORD[data], False)
+    """Words (starts, ends, words before each text), for each gram its word and bucket, and the words' scripts and letters."""
+    lead, point, length = code_points(data)
+    scripts, letters = _tables()
+    solid = np.append(ASCII_LETTER[data], False)
+    own = np.zeros(len(data), np.uint8)  # the script, at the first byte of a letter
+    good = letters[point]
+    for j in range(4):
+        solid[(lead + j)[good & (length > j)]] = True
+    own[lead[good]] = scripts[point[good]]
     edge = np.zeros(len(data) + 1, bool)
     edge[off] = True
     prev = np.append(False, solid[:-1])
@@ -72,8 +81,13 @@ def _features(data: np.ndarray, off: np.ndarray):
         same = word_of[: len(h)] == word_of[k - 1 : k - 1 + len(h)]
         word.append(word_of[: len(h)][same])
         bucket.append((h[same] >> np.uint64(40)).astype(np.int64) % BUCKETS)
-    script = np.maximum.reduceat(SCRIPT[frame], begin) if len(n) else np.zeros(0, np.int64)
-    return starts, ends, np.searchsorted(starts, off), np.concatenate(word), np.concatenate(bucket), script
+    # the script furthest from ASCII, and letters: bytes that begin a character
+    if len(lead) and len(n):
+        script = np.maximum.reduceat(np.append(own, 0), np.stack([starts, ends], axis=1).reshape(-1))[::2].astype(np.int64)
+        size = n - np.add.reduceat(np.append((data & 0xC0) == 0x80, False).astype(np.int64), np.stack([starts, ends], axis=1).reshape(-1))[::2]
+    else:
+        script, size = np.zeros(len(n), np.int64), n
+    return starts, ends, np.searchsorted(starts, off), np.concatenate(word), np.concatenate(bucket), script, size
 
 
 class Model:
@@ -124,9 +138,9 @@ def train(docs: DataFrame, max_train: int = MAX_TRAIN) -> Model | None:
     names = sorted(counts)
     bar = None
     for lang in names:
-        part = F.lit(int(min(1.0, max_train / counts[lang]) * 1_000_000))
+        part = F.lit(min((1 << 63) - 1, int(min(1.0, max_train / counts[lang]) * (1 << 63))))
         bar = F.when(F.col("lang") == lang, part) if bar is None else bar.when(F.col("lang") == lang, part)
-    sample = known.where(F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(1_000_000)) < bar)
+    sample = known.where(F.xxhash64("doc_id", F.lit(7)).bitwiseAND((1 << 63) - 1) <= bar)
     schema = "lang int, kind int, at int, n double"
     arrow = arrow_schema(schema)
 
@@ -138,7 +152,7 @@ def train(docs: DataFrame, max_train: int = MAX_TRAIN) -> Model | None:
             data, off = text_buffers(batch.column(0))
             for lo, hi in row_blocks(off, 1 << 18):
                 part, at = data[off[lo] : off[hi]], off[lo : hi + 1] - off[lo]
-                _, _, first, word, bucket, script = _features(part, at)
+                _, _, first, word, bucket, script, _ = _features(part, at)
                 lang = np.repeat(langs[lo:hi], np.diff(first))
                 np.add.at(grams.reshape(-1), lang[word] * BUCKETS + bucket, 1)
                 np.add.at(scripts.reshape(-1), lang * len(SCRIPTS) + script, 1)
@@ -166,16 +180,15 @@ def identify(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_
             for lo, hi in row_blocks(off, 1 << 18):
                 part, at = data[off[lo] : off[hi]], off[lo : hi + 1] - off[lo]
                 if model is not None:
-                    starts, ends, first, word, bucket, script = _features(part, at)
+                    starts, ends, first, word, bucket, script, letters = _features(part, at)
                     score = model.words(word, bucket, script)
                 for i in range(hi - lo):
                     a, b = (first[i], first[i + 1]) if model is not None else (0, 0)
-                    text = part[at[i] : at[i + 1]].tobytes().decode("utf-8", "replace")
-                    if a == b or not _LETTER.search(text):
+                    if a == b or not letters[a:b].any():
                         preds.append("und"), scores.append(0.0), listed.append([])
                         continue
                     label = viterbi(score[a:b])
-                    size = np.bincount(label, (ends - starts)[a:b], minlength=len(model.names))
+                    size = np.bincount(label, letters[a:b], minlength=len(model.names))
                     top = int(size.argmax())
                     preds.append(model.names[top])
                     scores.append(float(size[top] / size.sum()))

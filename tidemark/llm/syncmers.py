@@ -3,8 +3,8 @@
 A window of ``K`` bytes is a closed syncmer if the least hash among its inner substrings of
 ``S`` bytes stands at its first or last place.  Whether it is chosen depends on its own bytes
 alone, so the same passage gives the same anchors in every document.  A fingerprint holds all
-anchors of a text, by hash, with their byte positions, as hex: 10 digits of hash, 6 of position
-each.  Likeness is the share of both texts' anchors that they share; shared anchors count
+anchors of a text, by hash, with their byte positions, as hex: 16 digits each, 33 bits of hash and 31
+of position, which hold any place in a value that Spark can hold.  Likeness is the share of both texts' anchors that they share; shared anchors count
 only if they lie on one diagonal (the commonest shift, within ``DRIFT`` bytes), so that a
 passage must keep its place to count.
 
@@ -27,16 +27,17 @@ from .kernels import gram_hash, prefix_hash, sliding_min
 K, S, DRIFT = 24, 8, 64
 #: Bytes of fingerprints that a worker holds before it passes rows on.
 HELD = 16 << 20
-_HASH_BITS, _WHERE = 40, 0xFFFFFF
+_HASH_BITS, _PLACE_BITS = 33, 31
+_WHERE = (1 << _PLACE_BITS) - 1
 
 
 def syncmers(data: bytes) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes (40 bits) and positions of all closed syncmers of ``data``."""
+    """Hashes (``_HASH_BITS``) and positions of all closed syncmers of ``data``."""
     raw = np.frombuffer(data, np.uint8)
     if len(raw) < K:
         if not len(raw):
             return np.zeros(0, np.uint64), np.zeros(0, np.int64)
-        whole = int.from_bytes(hashlib.blake2b(data, digest_size=5).digest(), "big")
+        whole = int.from_bytes(hashlib.blake2b(data, digest_size=8).digest(), "big") >> (64 - _HASH_BITS)
         return np.array([whole], np.uint64), np.zeros(1, np.int64)
     prefix = prefix_hash(raw)
     inner = gram_hash(prefix, S)
@@ -54,13 +55,13 @@ def anchors(data: bytes) -> tuple[np.ndarray, np.ndarray]:
 
 
 def to_hex(h: np.ndarray, at: np.ndarray) -> str:
-    packed = (h << np.uint64(24)) | np.minimum(at, _WHERE).astype(np.uint64)
+    packed = (h << np.uint64(_PLACE_BITS)) | at.astype(np.uint64)
     return packed.astype(">u8").tobytes().hex()
 
 
 def from_hex(text: str) -> tuple[np.ndarray, np.ndarray]:
     packed = np.frombuffer(bytes.fromhex(text), ">u8").astype(np.uint64)
-    return packed >> np.uint64(24), (packed & np.uint64(_WHERE)).astype(np.int64)
+    return packed >> np.uint64(_PLACE_BITS), (packed & np.uint64(_WHERE)).astype(np.int64)
 
 
 def likeness(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> float:

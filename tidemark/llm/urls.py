@@ -137,7 +137,7 @@ def judge(pages: DataFrame, rules=RULES, max_train: int = 20_000, smooth: float
         only = next(iter(known), "allow")
         return base.select("page_id", "host", "path", "rule", F.coalesce("said", F.lit(only)).alias("verdict"), F.lit(1.0 if only == "block" else 0.0).alias("block_probability"))
     share = min(1.0, max_train / sum(known.values()))
-    sample = base.where(F.col("said").isNotNull()).where(F.pmod(F.xxhash64("url", F.lit(3)), F.lit(1_000_000)) < F.lit(int(share * 1_000_000)))
+    sample = base.where(F.col("said").isNotNull()).where(F.xxhash64("url", F.lit(3)).bitwiseAND((1 << 63) - 1) <= F.lit(min((1 << 63) - 1, int(share * (1 << 63)))))
     sample = materialize(sample.withColumn("y", (F.col("said") == "block").cast("double")), "url-sample")
     stats = sample.agg(F.avg("y").alias("m"), F.count(F.lit(1)).alias("n")).first()
     if not stats["n"] or stats["m"] in (0.0, 1.0):
