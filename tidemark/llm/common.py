@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
+from collections.abc import Callable
 from pathlib import Path
 
 import numpy as np
@@ -13,6 +15,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+_LIBC = ctypes.CDLL(None)
+
 
 def shared_dir(spark: SparkSession) -> str:
     """The shared folder of ``spark.checkpoint.dir``; where it is unset, a fresh one in local mode, an error on a cluster."""
@@ -67,6 +71,20 @@ def small_batches(spark: SparkSession, rows: int = 1000) -> None:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
 
 
+#: What operators remember in a Python worker from task to task, by operator: how to drop it.
+REMEMBERED: dict[str, Callable[[], None]] = {}
+
+
+def take_turn(operator: str = "") -> None:
+    """At the start of a task in a worker: drop what other operators remember there, and return freed memory."""
+    for name, drop in REMEMBERED.items():
+        if name != operator:
+            drop()
+    pa.default_memory_pool().release_unused()
+    if hasattr(_LIBC, "malloc_trim"):  # glibc keeps freed memory otherwise
+        _LIBC.malloc_trim(0)
+
+
 def running_totals(df: DataFrame, order: list, total: str, groups: list[str] = (), tag: str = "order") -> DataFrame:
     """Exclusive running totals in a global (or per-group) order, without a one-task window.
 

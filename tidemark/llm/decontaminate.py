@@ -26,7 +26,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import arrow_schema, row_blocks, small_batches, text_buffers
+from .common import arrow_schema, row_blocks, small_batches, take_turn, text_buffers
 from .kernels import COEF_LOWER, code_points, prefix_hash, shingles, span_hash
 
 N, LEAST, BLOCK = 4, 0.5, 4 << 20
@@ -215,6 +215,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, least: float = LEAST, id
 
     def search(seeds: _Seeds) -> DataFrame:
         def run(batches):
+            take_turn()
             for batch in batches:
                 ids = batch.column(0)
                 rows = [(ids[d].as_py(), seeds.ids[i], *found) for d, i, *found in _hits(seeds, batch.column(1), least)]
@@ -237,6 +238,7 @@ def clean(docs: DataFrame, benchmark: DataFrame, least: float = LEAST, text_col:
 
     def keep(docs: DataFrame, seeds: _Seeds) -> DataFrame:
         def run(batches):
+            take_turn()
             for batch in batches:
                 mask = np.ones(batch.num_rows, bool)
                 for d, *_ in _hits(seeds, batch.column(at), least):

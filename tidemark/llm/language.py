@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_schema, row_blocks, small_batches, text_buffers
+from .common import arrow_schema, row_blocks, small_batches, take_turn, text_buffers
 from .kernels import LOWER, code_points, gram_hash, prefix_hash
 
 BUCKETS, PENALTY, SHARE, MAX_TRAIN = 1 << 16, 6.0, 1e-4, 4000
@@ -145,6 +145,7 @@ def train(docs: DataFrame, max_train: int = MAX_TRAIN) -> Model | None:
     arrow = arrow_schema(schema)
 
     def run(batches):
+        take_turn()
         grams, scripts = np.zeros((len(names), BUCKETS)), np.zeros((len(names), len(SCRIPTS)))
         index = {x: i for i, x in enumerate(names)}
         for batch in batches:
@@ -174,6 +175,7 @@ def identify(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_
     small_batches(docs.sparkSession)
 
     def run(batches):
+        take_turn()
         for batch in batches:
             preds, scores, listed = [], [], []
             data, off = text_buffers(batch.column(1))

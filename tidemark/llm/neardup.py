@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_schema, discard, materialize, partitions, row_blocks, salted, small_batches, text_buffers
+from .common import arrow_schema, discard, materialize, partitions, row_blocks, salted, small_batches, take_turn, text_buffers
 from .kernels import COEF_LOWER, _splitmix, mix, prefix_hash, shingles, span_hash, words
 
 K = 64
@@ -83,6 +83,7 @@ def _signatures(docs: DataFrame, n: int) -> DataFrame:
     arrow = arrow_schema(schema)
 
     def run(batches):
+        take_turn()
         for batch in batches:
             rows = [(*_sums(found), signature(found).view(np.int32) if len(found) else None) for found in shingle_sets(batch.column(1), n)]
             cols = list(zip(*rows, strict=True)) if rows else [[]] * 4
@@ -96,6 +97,7 @@ def _full_sets(docs: DataFrame, n: int) -> DataFrame:
     arrow = arrow_schema(schema)
 
     def run(batches):
+        take_turn()
         for batch in batches:
             ids, rows, held = batch.column(0).to_pylist(), [], 0
 

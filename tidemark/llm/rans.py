@@ -26,7 +26,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_schema, discard, materialize, new_path, partitions, running_totals, small_batches
+from .common import REMEMBERED, arrow_schema, discard, materialize, new_path, partitions, running_totals, small_batches, take_turn
 
 SCALE, LANES, BLOCK, EVERY = 20, 2048, 1 << 18, 32
 MAGIC = b"TMRANS2\0"
@@ -177,7 +177,7 @@ class Pieces(dict):
     """
 
     #: Bytes that the memory may take in a worker, and what an entry takes beside its text and ids.
-    LIMIT, ENTRY = 120 << 20, 200
+    LIMIT, ENTRY = 64 << 20, 200
 
     def __init__(self, path: str, pattern: str):
         import regex
@@ -283,6 +283,9 @@ def pieces(path: str, pattern: str) -> Pieces:
     return Pieces(path, pattern)
 
 
+REMEMBERED["rans"] = pieces.cache_clear
+
+
 def _ordered(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     rows = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text"))
     return rows.repartitionByRange(partitions(docs.sparkSession), F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
@@ -298,6 +301,7 @@ def tokenize(docs: DataFrame, path: str, pattern: str, end_id: int | None = 2, i
     small_batches(docs.sparkSession)
 
     def run(batches):
+        take_turn("rans")
         known = pieces(path, pattern)
         tail = np.array([] if end_id is None else [end_id], known.kind)
         counts = np.zeros(1 << 16, np.int64)
@@ -336,6 +340,7 @@ def frequencies(tokens: DataFrame) -> Table:
     arrow = arrow_schema(schema)
 
     def run(batches):
+        take_turn()
         for batch in batches:
             for raw in batch.column(0).to_pylist():
                 pairs = np.frombuffer(raw, "<i8").reshape(-1, 2)
@@ -351,6 +356,7 @@ def write_blocks(tokens: DataFrame, table: Table, path: str, kind: np.dtype) ->
     arrow = arrow_schema(schema)
 
     def run(batches):
+        take_turn()
         ats: list[int] = []
         docs: list[int] = []
         ids: list[np.ndarray] = []
@@ -387,6 +393,7 @@ def read_blocks(spark, path: str, table: Table) -> DataFrame:
     arrow = arrow_schema(schema)
 
     def run(batches):
+        take_turn()
         for batch in batches:
             for first, raw in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 docs, lengths, ids = decode_block(table, raw.as_py())

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from .automaton import compile_rules, linked_rows, parse, reverse
-from .common import arrow_schema, small_batches, text_buffers
+from .common import arrow_schema, small_batches, take_turn, text_buffers
 
 
 @dataclass(frozen=True)
@@ -159,6 +159,7 @@ def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     arrow, compiled = arrow_schema(schema), scanner(rules)
 
     def scan(batches):
+        take_turn()
         finder = compiled.link()
         for batch in batches:
             data, off = text_buffers(batch.column(1))

@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import PART, arrow_schema, discard, materialize, running_totals, small_batches, text_buffers
+from .common import PART, arrow_schema, discard, materialize, running_totals, small_batches, take_turn, text_buffers
 from .kernels import gram_hash, prefix_hash, sliding_min, span_hash
 
 L, GRAM, STEP = 100, 20, 8
@@ -120,6 +120,7 @@ def _segment_rows(rows: DataFrame, length: int, shift: int) -> DataFrame:
     arrow = arrow_schema(schema)
 
     def run(batches):
+        take_turn()
         for batch in batches:
             keys = batch.column(0).to_pylist()
             spans = batch.column(2).to_pylist() if cut else None
@@ -166,6 +167,7 @@ def _pairs(rows: DataFrame, length: int, shift: int) -> DataFrame:
     lengths = _prefixes(length)
 
     def run(batches):
+        take_turn()
         for batch in batches:
             keys, spans = batch.column(0).to_pylist(), batch.column(2).to_pylist()
             for i, data in _texts(batch, 1):
@@ -201,6 +203,7 @@ def _cut(rows: DataFrame, length: int) -> DataFrame:
     arrow = arrow_schema(schema)
 
     def run(batches):
+        take_turn()
         for batch in batches:
             spans, out = batch.column(2).to_pylist(), []
             for i, data in _texts(batch, 1):

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_schema, partitions, small_batches
+from .common import arrow_schema, partitions, small_batches, take_turn
 from .kernels import gram_hash, prefix_hash, sliding_min
 
 K, S, DRIFT = 24, 8, 64
@@ -129,6 +129,7 @@ def fingerprint_pairs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     small_batches(docs.sparkSession)
 
     def run(batches):
+        take_turn()
         out: list[tuple] = []
         size = 0
         held = None  # (part, id, text, anchors) that waits for the document after it
