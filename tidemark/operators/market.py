@@ -7,21 +7,15 @@ from ..plans.relations import relation
 
 W = "OVER (PARTITION BY symbol ORDER BY trade_date)"
 
-relation(
-    "ticks",
-    "lineitem part",
-    """SELECT p_brand AS symbol, CAST(substr(p_brand, 7) AS INT) AS b, @plus_days(@monday(l_shipdate); 6209) AS trade_date,
-    CAST(round(p_retailprice * (1 - l_discount) * 2) AS BIGINT) AS px, CAST(l_quantity AS BIGINT) AS qty,
-    row_number() OVER (PARTITION BY p_brand, @monday(l_shipdate) ORDER BY l_shipdate, l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS nth,
-    count(*) OVER (PARTITION BY p_brand, @monday(l_shipdate)) AS n
-    FROM lineitem JOIN part ON l_partkey = p_partkey""",
-)
+# First and last price of a day by one total order: partial aggregates, no sort.
+_order = "l_shipdate, l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice"
 relation(
     "bars_ohlcv",
-    "ticks",
-    """SELECT symbol, b, trade_date, max(CASE WHEN nth = 1 THEN px END) AS open, max(px) AS high, min(px) AS low,
-    max(CASE WHEN nth = n THEN px END) AS close, CAST(sum(qty) AS BIGINT) AS volume
-    FROM ticks WHERE NOT (b = 7 AND trade_date BETWEEN DATE '2014-06-01' AND DATE '2014-12-31') GROUP BY symbol, b, trade_date""",
+    "lineitem part",
+    f"""SELECT symbol, b, trade_date, @first_by(px; {_order}) AS open, max(px) AS high, min(px) AS low, @last_by(px; {_order}) AS close, CAST(sum(qty) AS BIGINT) AS volume
+    FROM (SELECT p_brand AS symbol, CAST(substr(p_brand, 7) AS INT) AS b, @plus_days(@monday(l_shipdate); 6209) AS trade_date,
+      CAST(round(p_retailprice * (1 - l_discount) * 2) AS BIGINT) AS px, CAST(l_quantity AS BIGINT) AS qty, {_order} FROM lineitem JOIN part ON l_partkey = p_partkey) t
+    WHERE NOT (b = 7 AND trade_date BETWEEN DATE '2014-06-01' AND DATE '2014-12-31') GROUP BY symbol, b, trade_date""",
 )
 relation("sessions", "bars_ohlcv", "SELECT trade_date, CAST(row_number() OVER (ORDER BY trade_date) AS BIGINT) AS session_no FROM (SELECT DISTINCT trade_date FROM bars_ohlcv)")
 relation(
@@ -49,14 +43,29 @@ relation(
     open AS raw_open, high AS raw_high, low AS raw_low, close AS raw_close, NOT (b % 5 = 4 AND trade_date < DATE '2013-01-07') AS volume_is_adjustable
     FROM (SELECT *, CASE WHEN b % 4 = 0 AND trade_date < DATE '2015-01-05' THEN CAST(0.8 AS DOUBLE) ELSE CAST(1 AS DOUBLE) END AS f FROM bars_ohlcv) t""",
 )
+# a row in two overlapping windows is still one row
+relation("excluded_days", "adjusted_bars excluded_windows", "SELECT DISTINCT a.symbol, a.trade_date FROM adjusted_bars a JOIN excluded_windows x ON x.symbol = a.symbol AND a.trade_date BETWEEN x.valid_from AND x.valid_to")
 relation(
-    "bars",
-    "adjusted_bars sessions exchange_in_force excluded_windows",
+    "dated_bars",
+    "adjusted_bars sessions exchange_in_force excluded_days",
     f"""SELECT *, CASE WHEN abs(factor - lag(factor) {W}) >= 1e-6 AND lag(factor) {W} IS NOT NULL THEN true ELSE false END AS factor_step,
     coalesce(session_no - lag(session_no) {W} - 1, 0) AS gap_before
     FROM (SELECT a.*, s.session_no, e.exchange, e.exchange_unknown, x.symbol IS NOT NULL AS excluded
       FROM adjusted_bars a JOIN sessions s ON a.trade_date = s.trade_date JOIN exchange_in_force e ON e.symbol = a.symbol AND e.trade_date = a.trade_date
-      LEFT JOIN excluded_windows x ON x.symbol = a.symbol AND a.trade_date BETWEEN x.valid_from AND x.valid_to) t""",
+      LEFT JOIN excluded_days x ON x.symbol = a.symbol AND x.trade_date = a.trade_date) t""",
+)
+# A step of the factor is usual on an ex-date; only one that moves the adjusted price beyond the limit is a defect.
+relation(
+    "factor_kinds",
+    "dated_bars",
+    f"""SELECT *, CASE WHEN factor_step AND volume_is_adjustable AND abs(move) > 2 * rate / 100.0 THEN
+      CASE WHEN gap_before >= {rules.RESUMPTION_SESSIONS} THEN 'resumption' WHEN exchange <> was THEN 'new_exchange' ELSE 'defect' END END AS kind
+    FROM (SELECT *, close / lag(close) {W} - 1 AS move, lag(exchange) {W} AS was, {rules.limit_rate('exchange', 'trade_date')} AS rate FROM dated_bars) t""",
+)
+relation(
+    "bars",
+    "factor_kinds",
+    "SELECT symbol, b, trade_date, factor, open, high, low, close, matched_volume, raw_open, raw_high, raw_low, raw_close, volume_is_adjustable, session_no, exchange, exchange_unknown, excluded, factor_step, gap_before, coalesce(kind = 'defect', false) AS factor_break FROM factor_kinds",
 )
 relation("sessions_gap", "bars", "SELECT symbol, trade_date, session_no, CAST(gap_before AS BIGINT) AS gap_before, excluded FROM bars")
 _ref = f"(lag(close) {W} * raw_close / close)"
@@ -79,12 +88,7 @@ relation(
     "limits_all",
     "SELECT symbol, trade_date, CAST(ceiling AS BIGINT) AS ceiling, CAST(floor AS BIGINT) AS floor, 2 * raw_open >= 2 * ceiling - up_tick AS entry_at_ceiling, 2 * raw_close <= 2 * floor + down_tick AS exit_at_floor, exchange_unknown OR exchange = 'UPCOM' AS flagged FROM limits_all",
 )
-relation(
-    "factor_triage",
-    "bars",
-    f"""SELECT symbol, trade_date, round(move, 6) AS move, CASE WHEN gap_before >= {rules.RESUMPTION_SESSIONS} THEN 'resumption' WHEN exchange <> was THEN 'new_exchange' ELSE 'defect' END AS kind
-    FROM (SELECT *, close / lag(close) {W} - 1 AS move, lag(exchange) {W} AS was, {rules.limit_rate('exchange', 'trade_date')} AS rate FROM bars) t WHERE factor_step AND volume_is_adjustable AND abs(move) > 2 * rate / 100.0""",
-)
+relation("factor_triage", "factor_kinds", "SELECT symbol, trade_date, round(move, 6) AS move, kind FROM factor_kinds WHERE kind IS NOT NULL")
 # market-wide frames: one row for each session
 relation(
     "breadth_counts",

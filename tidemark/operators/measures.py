@@ -2,7 +2,7 @@
 
 A measure is a SQL expression over the guarded bar stages, with its lookback and what it needs.
 The guard counts, once for each row, how far back the run without a trading gap, an
-excluded row or a non-adjustable volume reaches; a window that reaches further is NULL, which is
+excluded row or a non-adjustable volume reaches; a factor that is wrong breaks the run as a gap does.  A window that reaches further is NULL, which is
 neither false nor zero.  All windows share one partitioning and order: one exchange in all.
 """
 
@@ -62,7 +62,7 @@ relation(
     "bars",
     f"""SELECT *, row_number() OVER (PARTITION BY symbol, run ORDER BY trade_date) - 1 AS pos,
     coalesce(rn - max(CASE WHEN excluded THEN rn END) {W}, 1000000) AS since_bad, coalesce(rn - max(CASE WHEN NOT volume_is_adjustable THEN rn END) {W}, 1000000) AS since_unadj
-    FROM (SELECT *, row_number() {W} AS rn, sum(CASE WHEN gap_before > 0 THEN 1 ELSE 0 END) {W} AS run FROM bars) t""",
+    FROM (SELECT *, row_number() {W} AS rn, sum(CASE WHEN gap_before > 0 OR factor_break THEN 1 ELSE 0 END) {W} AS run FROM bars) t""",
 )
 _tick = rules.floor_tick("exchange", "exchange_unknown", "trade_date", "raw_close")
 _lags = ", ".join(f"{lag(c, k)} AS {c[0]}{k}" for c in ("open", "high", "low", "close") for k in (1, 2, 3))
@@ -102,10 +102,10 @@ measure("price_vs_ma_20", "trend", 19, "close / ma20 - 1")
 measure("price_vs_ma_50", "trend", 49, "close / ma50 - 1")
 measure("price_change_10d", "trend", 10, "close / c10 - 1")
 measure("price_change_20d", "trend", 20, "close / c20 - 1")
-# levels: a frame of confirmed pivots, each compared with today's price
-_near = lambda pivot, price: " + ".join(f"CASE WHEN abs({lag(pivot, k)} - {price}) <= 0.02 * {price} THEN 1 ELSE 0 END" for k in range(2, 60))
-measure("near_support", "levels", 61, f"({_near('pivot_low', 'low')}) >= 2", known=("low",))
-measure("near_resistance", "levels", 61, f"({_near('pivot_high', 'high')}) >= 2", known=("high",))
+# levels: the confirmed pivots of one frame, each compared with today's price
+_near = lambda pivot, price: f"@near({pivot}; {price}; OVER ({P} ROWS BETWEEN 59 PRECEDING AND 2 PRECEDING)) >= 2"
+measure("near_support", "levels", 61, _near("pivot_low", "low"), known=("low",))
+measure("near_resistance", "levels", 61, _near("pivot_high", "high"), known=("high",))
 # candles
 measure("body_to_range", "candles", 0, "body / nullif(rng, 0)")
 measure("upper_wick_to_range", "candles", 0, "up / nullif(rng, 0)")
@@ -158,8 +158,7 @@ for _m in MEASURES.values():
     FAMILIES.setdefault(_m.family, []).append(_m)
 for _f, _ms in FAMILIES.items():
     relation(f"measures_{_f}", "stage3", f"SELECT symbol, trade_date, {', '.join(masked(m) for m in _ms)} FROM stage3")
-_wide = [m for m in MEASURES.values() if m.family != "levels"]
-relation("panel_wide", "stage3", f"SELECT symbol, trade_date, session_no, {', '.join(masked(m) for m in _wide)} FROM stage3")
+relation("panel_wide", "stage3", f"SELECT symbol, trade_date, session_no, {', '.join(masked(m) for m in MEASURES.values())} FROM stage3")
 relation(
     "fingerprint_wide",
     "panel_wide index_measures breadth_measures",

@@ -11,12 +11,12 @@ LAST = max(HORIZONS) + 1 + MAX_DEFERRAL
 
 relation(
     "walk",
-    "bars fillability",
+    "bars fillability sessions",
     f"""SELECT b.*, coalesce(f.entry_at_ceiling, false) AS at_ceiling, coalesce(f.exit_at_floor, false) AS at_floor, coalesce(f.flagged, true) AS unsure,
-    b.matched_volume > 0 AS tradeable, {rules.sell_offset('b.trade_date')} AS sell_offset, max(b.session_no) OVER (PARTITION BY 1) AS last_session
+    b.matched_volume > 0 AS tradeable, {rules.sell_offset('b.trade_date')} AS sell_offset, (SELECT max(session_no) FROM sessions) AS last_session
     FROM bars b LEFT JOIN fillability f ON f.symbol = b.symbol AND f.trade_date = b.trade_date""",
 )
-_cols = ("gap_before", "factor_step", "excluded", "tradeable", "at_floor", "close", "high", "low", "trade_date", "unsure")
+_cols = ("gap_before", "factor_break", "excluded", "tradeable", "at_floor", "close", "high", "low", "trade_date", "unsure")
 _lead = ", ".join(f"lead({c}, {m}) {W} AS {c}_{m}" for m in range(1, LAST + 1) for c in _cols)
 relation("walked", "walk", f"SELECT *, {_lead}, lead(open, 1) {W} AS entry, lead(at_ceiling, 1) {W} AS ceil_1, lead(sell_offset, 1) {W} AS offset_1 FROM walk")
 
@@ -28,9 +28,9 @@ def _decide(k: int) -> tuple[str, str]:
     def missing(m):
         return (f"close_{m} IS NULL", f"CASE WHEN session_no + {m} > last_session THEN 'pending' ELSE 'data_ends' END", "-1")
 
-    arms += [missing(1), ("gap_before_1 > 0", "'no_next_session'", "1"), ("factor_step_1", "'factor_break'", "1"), ("excluded_1", "'window_excluded'", "1"), ("NOT tradeable_1", "'not_tradeable'", "1"), (f"{k} < offset_1", "'not_sellable'", "1"), ("ceil_1", "'entry_at_ceiling'", "1")]
+    arms += [missing(1), ("gap_before_1 > 0", "'no_next_session'", "1"), ("factor_break_1", "'factor_break'", "1"), ("excluded_1", "'window_excluded'", "1"), ("NOT tradeable_1", "'not_tradeable'", "1"), (f"{k} < offset_1", "'not_sellable'", "1"), ("ceil_1", "'entry_at_ceiling'", "1")]
     for m in range(2, k + 2 + MAX_DEFERRAL):
-        arms += [missing(m), (f"gap_before_{m} > 0", "'window_gap'", f"{m}"), (f"factor_step_{m}", "'factor_break'", f"{m}"), (f"excluded_{m}", "'window_excluded'", f"{m}")]
+        arms += [missing(m), (f"gap_before_{m} > 0", "'window_gap'", f"{m}"), (f"factor_break_{m}", "'factor_break'", f"{m}"), (f"excluded_{m}", "'window_excluded'", f"{m}")]
         if m >= k + 1:
             arms += [(f"NOT tradeable_{m}", "'not_tradeable'", f"{m}"), (f"NOT at_floor_{m}", "'exit'", f"{m}")]
     reason = " ".join(f"WHEN {c} THEN {r}" for c, r, _ in arms)
