@@ -19,9 +19,27 @@ def test_statistics():
     assert st.benjamini_hochberg([0.01, 0.5, 0.02], 0.1) == [True, False, True]
     assert st.declustered([1, 2, 5, 6, 9], 3) == [True, False, True, False, True]
     assert len(st.vocabulary(range(21), range(8), (3, 5))) == 1554
-    w = st.resample_weights(10, 200)
-    assert st.block_pvalue(w, np.ones(10), np.ones(10) * 2, np.ones(10), np.ones(10) * 2) > 0.9
-    assert st.families({"a": {1}, "b": {1, 2}, "c": {3}}) == {"a": "a", "b": "a", "c": "c"}
+    sets = [("a", frozenset()), ("a", frozenset("x")), ("b", frozenset("x")), ("b", frozenset("xy")), ("b", frozenset("z")), ("b", frozenset("y"))]
+    f = frozenset
+    assert st.families(sets) == [[("a", f()), ("a", f("x"))], [("b", f("x")), ("b", f("y")), ("b", f("xy"))], [("b", f("z"))]]
+
+
+def test_bootstrap(spark):
+    """One pass over many hypotheses equals a plain loop over draws; no edge gives p near 1, a strong one the least p."""
+    rng = np.random.default_rng(1)
+    base = np.stack([rng.integers(20, 60, 12), np.full(12, 100)])
+    counts = np.stack([np.stack([rng.integers(0, 6, 12), np.full(12, 6), *base]) for _ in range(5)] + [np.stack([np.full(12, 6), np.full(12, 6), *base])])
+    w = st.draws(12, 300)
+    want = []
+    for hw, hn, bw, bn in counts:
+        edges = [(d @ hw) / (d @ hn) - (d @ bw) / (d @ bn) for d in w]
+        want.append(min(1.0, 2 * (min(sum(e <= 0 for e in edges), sum(e >= 0 for e in edges)) + 1) / (len(edges) + 1)))
+    assert np.allclose(st.tails(counts, w), want) and want[-1] == 2 / 301
+    rows = [(f"h{h}", b, *map(int, c[:, b])) for h, c in enumerate(counts) for b in range(12)]
+    got = st.bootstrap(spark.createDataFrame(rows, "hypothesis string, block int, hit_wins long, hit_n long, base_wins long, base_n long"), 12, times=300).collect()
+    assert np.allclose([r["p"] for r in sorted(got)], want)
+    same = np.array([[[1] * 4, [2] * 4, [1] * 4, [2] * 4]])
+    assert st.tails(same, st.draws(4, 50))[0] == 1.0
 
 
 def test_store(spark, tmp_path):

@@ -17,8 +17,8 @@ from ..sources.shared import new_path
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events")
 
 #: The spellings that differ.
-SPARK = {"median": "percentile({0}, 0.5)", "plus_days": "date_add({0}, {1})", "monday": "to_date(date_trunc('week', {0}))", "day": "to_date({0})", "weekday": "(weekday({0}) + 1)", "month": "to_date(date_trunc('month', {0}))", "pct": "percentile({0}, {1})", "mode": "min(mode({0}))", "json_k": "cast(get_json_object({0}, '$.k') as bigint)", "list": "array_join(array_sort(collect_list({0})), ',')", "hash": "cast(crc32(cast({0} as binary)) as bigint)", "ratio": "try_divide({0}, {1})", "first_by": "min_by({0}, struct({1}))", "last_by": "max_by({0}, struct({1}))", "near": "size(filter(collect_list({0}) {2}, x -> abs(x - {1}) <= 0.02 * {1}))", "spaced": "slice(aggregate(array_sort(collect_list({0})), array(cast(-1000000 as bigint)), (a, s) -> case when s - element_at(a, -1) > {1} then concat(a, array(s)) else a end), 2, 1000000)", "rows_of": "explode({0})"}
-DUCK = {"median": "median({0})", "plus_days": "({0} + CAST({1} AS INTEGER))", "monday": "CAST(date_trunc('week', {0}) AS DATE)", "day": "CAST({0} AS DATE)", "weekday": "isodow({0})", "month": "CAST(date_trunc('month', {0}) AS DATE)", "pct": "quantile_cont({0}, {1})", "mode": "mode({0})", "json_k": "CAST(json_extract({0}, '$.k') AS BIGINT)", "list": "array_to_string(list_sort(list({0})), ',')", "hash": "0", "ratio": "({0} / nullif({1}, 0))", "first_by": "arg_min({0}, ROW({1}))", "last_by": "arg_max({0}, ROW({1}))", "near": "len(list_filter(list({0}) {2}, lambda x: abs(x - {1}) <= 0.02 * {1}))", "spaced": "list_reduce(list_transform(list_sort(list({0})), lambda x: [x]), lambda a, x: CASE WHEN x[1] - a[-1] > {1} THEN list_concat(a, x) ELSE a END)", "rows_of": "unnest({0})"}
+SPARK = {"plus_months": "add_months({0}, {1})", "median": "percentile({0}, 0.5)", "plus_days": "date_add({0}, {1})", "monday": "to_date(date_trunc('week', {0}))", "day": "to_date({0})", "weekday": "(weekday({0}) + 1)", "month": "to_date(date_trunc('month', {0}))", "pct": "percentile({0}, {1})", "mode": "min(mode({0}))", "json_k": "cast(get_json_object({0}, '$.k') as bigint)", "list": "array_join(array_sort(collect_list({0})), ',')", "hash": "cast(crc32(cast({0} as binary)) as bigint)", "ratio": "try_divide({0}, {1})", "first_by": "min_by({0}, struct({1}))", "last_by": "max_by({0}, struct({1}))", "near": "size(filter(collect_list({0}) {2}, x -> abs(x - {1}) <= 0.02 * {1}))", "spaced": "slice(aggregate(array_sort(collect_list({0})), array(cast(-1000000 as bigint)), (a, s) -> case when s - element_at(a, -1) > {1} then concat(a, array(s)) else a end), 2, 1000000)", "rows_of": "explode({0})"}
+DUCK = {"plus_months": "CAST({0} + INTERVAL ({1}) MONTH AS DATE)", "median": "median({0})", "plus_days": "({0} + CAST({1} AS INTEGER))", "monday": "CAST(date_trunc('week', {0}) AS DATE)", "day": "CAST({0} AS DATE)", "weekday": "isodow({0})", "month": "CAST(date_trunc('month', {0}) AS DATE)", "pct": "quantile_cont({0}, {1})", "mode": "mode({0})", "json_k": "CAST(json_extract({0}, '$.k') AS BIGINT)", "list": "array_to_string(list_sort(list({0})), ',')", "hash": "0", "ratio": "({0} / nullif({1}, 0))", "first_by": "arg_min({0}, ROW({1}))", "last_by": "arg_max({0}, ROW({1}))", "near": "len(list_filter(list({0}) {2}, lambda x: abs(x - {1}) <= 0.02 * {1}))", "spaced": "list_reduce(list_transform(list_sort(list({0})), lambda x: [x]), lambda a, x: CASE WHEN x[1] - a[-1] > {1} THEN list_concat(a, x) ELSE a END)", "rows_of": "unnest({0})"}
 
 _CALL = re.compile(r"@(\w+)\(")
 
@@ -74,7 +74,7 @@ def oracle(name: str) -> str:
 
 #: Relations that Spark writes once to the shared folder and reads back: the stored panel and
 #: outcomes, on which everything downstream is planned afresh.
-STORED = {"bars_ohlcv", "bars", "limits_all", "stage3", "fingerprint_wide", "walk", "outcomes_k3", "outcomes_k5", "gate_k3", "fired", "hypothesis_stats"}
+STORED = {"bars_ohlcv", "bars", "limits_all", "stage3", "fingerprint_wide", "walk", "outcomes_k3", "outcomes_k5", "gate_k3", "gate_k5", "bits", "base_split", "fired", "kept_days", "occurrences", "hypothesis_stats", "scan_candidates"}
 _STORED: dict[tuple[str, str, str], str] = {}
 
 
