@@ -12,7 +12,7 @@ from .plans.relations import REGISTRY, oracle, spark_frame
 
 FLAGSHIP = "measures_volume"
 #: Relations that only feed others.
-INNER = {"sessions", "excluded_days", "dated_bars", "factor_kinds", "membership", "excluded_windows", "bars", "referenced", "banded", "limited", "limits_all", "labels_dim", "labelled_bars", "guarded", "stage1", "stage2", "stage3", "panel_wide", "walk", "walked", "decided_k3", "decided_k5", "gate_k3", "gate_k5", "masks", "trigger_bits", "bits_k3", "bits_k5", "bits", "vocabulary", "base_cells", "base_split", "fired", "kept_days", "occurrences", "yearly_days", "evidence_rows", "trades", "daily_net", "ledger_days", "encoded", "daily", "second_source"}
+INNER = {"sessions", "excluded_days", "dated_bars", "factor_kinds", "membership", "excluded_windows", "bars", "referenced", "banded", "limited", "limits_all", "labels_dim", "label_spans", "labelled_bars", "guarded", "stage1", "stage2", "stage3", "panel_wide", "walk", "walked", "decided_k3", "decided_k5", "gate_k3", "gate_k5", "masks", "trigger_bits", "bits_k3", "bits_k5", "bits", "vocabulary", "base_cells", "base_split", "fired", "kept_days", "occurrences", "yearly_days", "evidence_rows", "trades", "daily_net", "ledger_days", "encoded", "daily", "second_source"}
 NAMES = [n for n in REGISTRY if n not in INNER]
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {n: (lambda spark, sf_dir, n=n: spark_frame(spark, sf_dir, n)) for n in NAMES}
 ORACLE_SQL: dict[str, str] = {n: oracle(n) for n in NAMES}

@@ -114,21 +114,42 @@ relation(
     FROM (SELECT trade_date, CASE WHEN counted >= 0.8 * usual THEN CAST(advancers AS DOUBLE) / nullif(advancers + decliners, 0) END AS share
       FROM (SELECT *, {_roll('median', 'counted', 20, 1)} AS usual FROM breadth_counts) t) u""",
 )
-relation("index_bar", "bars_ohlcv", "SELECT trade_date, CAST(sum(open) AS BIGINT) AS open, CAST(sum(high) AS BIGINT) AS high, CAST(sum(low) AS BIGINT) AS low, CAST(sum(close) AS BIGINT) AS close, CAST(sum(volume) AS BIGINT) AS volume FROM bars_ohlcv GROUP BY trade_date")
+# the index misses two sessions of the fixture: a defect that no window may contain
 relation(
-    "index_measures",
     "index_bar",
-    f"""SELECT trade_date, CASE WHEN ma IS NOT NULL THEN CASE WHEN close > ma THEN 1.0E0 ELSE 0.0E0 END END AS index_above_ma_50,
-    round(ma / lag(ma, 10) OVER (ORDER BY trade_date) - 1, 6) AS index_ma_50_slope,
-    round(CAST(close AS DOUBLE) / lag(close, 20) OVER (ORDER BY trade_date) - 1, 6) AS index_change_20d, round(close / high60 - 1, 6) AS index_drawdown_from_high
-    FROM (SELECT *, {_roll('avg', 'close', 50)} AS ma, CAST({_roll('max', 'close', 60)} AS DOUBLE) AS high60 FROM index_bar) t""",
+    "bars_ohlcv",
+    "SELECT trade_date, CAST(sum(open) AS BIGINT) AS open, CAST(sum(high) AS BIGINT) AS high, CAST(sum(low) AS BIGINT) AS low, CAST(sum(close) AS BIGINT) AS close, CAST(sum(volume) AS BIGINT) AS volume FROM bars_ohlcv WHERE trade_date NOT IN (DATE '2014-03-10', DATE '2016-05-02') GROUP BY trade_date",
+)
+_I = "OVER (ORDER BY trade_date)"
+_whole = lambda n: f"row_number() {_I} > {n} AND sum(gap) OVER (ORDER BY trade_date ROWS BETWEEN {n - 1} PRECEDING AND CURRENT ROW) = 0"
+relation(
+    "index_measures",
+    "index_bar sessions",
+    f"""SELECT trade_date, CASE WHEN {_whole(49)} THEN CASE WHEN close > ma THEN 1.0E0 ELSE 0.0E0 END END AS index_above_ma_50,
+    round(CASE WHEN {_whole(59)} THEN ma / lag(ma, 10) {_I} - 1 END, 6) AS index_ma_50_slope,
+    round(CASE WHEN {_whole(20)} THEN CAST(close AS DOUBLE) / lag(close, 20) {_I} - 1 END, 6) AS index_change_20d, round(CASE WHEN {_whole(59)} THEN close / high60 - 1 END, 6) AS index_drawdown_from_high
+    FROM (SELECT *, CASE WHEN session_no - lag(session_no) {_I} > 1 THEN 1 ELSE 0 END AS gap, {_roll('avg', 'close', 50)} AS ma, CAST({_roll('max', 'close', 60)} AS DOUBLE) AS high60
+      FROM (SELECT i.*, s.session_no FROM index_bar i JOIN sessions s ON s.trade_date = i.trade_date) t) u""",
+)
+# Two snapshots of labels; brand 25 has none.  A label holds from its snapshot to the next; before the first it is borrowed.
+_b = "CAST(substr(p_brand, 7) AS INT)"
+relation(
+    "labels_dim",
+    "part",
+    f"""SELECT DISTINCT p_brand AS symbol, CONCAT('S', CAST({_b} % 5 AS VARCHAR(4))) AS sector, DATE '2014-01-06' AS snapshot_date FROM part WHERE {_b} <> 25
+    UNION ALL SELECT DISTINCT p_brand, CONCAT('S', CAST(({_b} + CASE WHEN {_b} % 11 = 0 THEN 1 ELSE 0 END) % 5 AS VARCHAR(4))), DATE '2016-01-04' FROM part WHERE {_b} <> 25""",
+)
+relation("label_spans", "labels_dim", "SELECT symbol, sector, snapshot_date, min(snapshot_date) OVER (PARTITION BY symbol) AS first_known, lead(snapshot_date) OVER (PARTITION BY symbol ORDER BY snapshot_date) AS next_one FROM labels_dim")
+relation(
+    "labelled_bars",
+    "bars label_spans",
+    "SELECT b.*, l.sector, coalesce(b.trade_date < l.first_known, true) AS labels_current FROM bars b LEFT JOIN label_spans l ON l.symbol = b.symbol AND (b.trade_date >= l.snapshot_date OR l.snapshot_date = l.first_known) AND (l.next_one IS NULL OR b.trade_date < l.next_one)",
 )
-relation("labels_dim", "part", "SELECT DISTINCT p_brand AS symbol, CONCAT('S', CAST(CAST(substr(p_brand, 7) AS INT) % 5 AS VARCHAR(4))) AS sector, DATE '2014-01-06' AS snapshot_date FROM part")
-relation("labelled_bars", "bars labels_dim", "SELECT b.*, l.sector, b.trade_date < l.snapshot_date AS labels_current FROM bars b LEFT JOIN labels_dim l ON l.symbol = b.symbol")
+relation("sector_labels", "labelled_bars", "SELECT symbol, trade_date, sector, labels_current FROM labelled_bars")
 relation(
     "sector_frame",
     "labelled_bars",
-    f"SELECT trade_date, sector, CAST(count(m) AS BIGINT) AS counted, round(@median(m), 6) AS median_return, bool_or(labels_current) AS labels_current FROM (SELECT trade_date, sector, labels_current, CASE WHEN gap_before = 0 AND NOT excluded THEN close / lag(close) {W} - 1 END AS m FROM labelled_bars) t GROUP BY trade_date, sector",
+    f"SELECT trade_date, sector, CAST(count(m) AS BIGINT) AS counted, round(@median(m), 6) AS median_return, bool_or(labels_current) AS labels_current FROM (SELECT trade_date, sector, labels_current, CASE WHEN gap_before = 0 AND NOT excluded THEN close / lag(close) {W} - 1 END AS m FROM labelled_bars) t WHERE sector IS NOT NULL GROUP BY trade_date, sector",
 )
 relation(
     "sector_measures",

@@ -159,8 +159,18 @@ for _m in MEASURES.values():
 for _f, _ms in FAMILIES.items():
     relation(f"measures_{_f}", "stage3", f"SELECT symbol, trade_date, {', '.join(masked(m) for m in _ms)} FROM stage3")
 relation("panel_wide", "stage3", f"SELECT symbol, trade_date, session_no, {', '.join(masked(m) for m in MEASURES.values())} FROM stage3")
+# the sector's value by the symbol's label of the day; flagged if either label is borrowed, or there is none
+relation(
+    "stock_vs_sector",
+    "stage3 labelled_bars sector_measures",
+    """SELECT b.symbol, b.trade_date, m.sector_change_20d, round(CASE WHEN b.pos >= 20 AND b.since_bad > 20 THEN b.close / b.c20 - 1 END - m.sector_change_20d, 6) AS stock_vs_sector_20d, coalesce(m.flagged, 1) = 1 OR l.labels_current AS flag_sector
+    FROM stage3 b JOIN labelled_bars l ON l.symbol = b.symbol AND l.trade_date = b.trade_date LEFT JOIN sector_measures m ON m.trade_date = b.trade_date AND m.sector = l.sector""",
+)
+_market = ("i.index_above_ma_50", "i.index_ma_50_slope", "i.index_change_20d", "i.index_drawdown_from_high", "b.breadth_advance_share", "b.breadth_advance_share_10d", "s.sector_change_20d", "s.stock_vs_sector_20d", "s.flag_sector")
 relation(
     "fingerprint_wide",
-    "panel_wide index_measures breadth_measures",
-    "SELECT p.*, i.index_above_ma_50, i.index_ma_50_slope, i.index_change_20d, i.index_drawdown_from_high, b.breadth_advance_share, b.breadth_advance_share_10d FROM panel_wide p LEFT JOIN index_measures i ON i.trade_date = p.trade_date LEFT JOIN breadth_measures b ON b.trade_date = p.trade_date",
+    "panel_wide index_measures breadth_measures stock_vs_sector",
+    f"SELECT p.*, {', '.join(_market)} FROM panel_wide p LEFT JOIN index_measures i ON i.trade_date = p.trade_date LEFT JOIN breadth_measures b ON b.trade_date = p.trade_date LEFT JOIN stock_vs_sector s ON s.symbol = p.symbol AND s.trade_date = p.trade_date",
 )
+# what validated results may read: flagged values blank, flags gone
+relation("fingerprint_quarantined", "fingerprint_wide", "SELECT symbol, trade_date, CASE WHEN NOT flag_sector THEN sector_change_20d END AS sector_change_20d, CASE WHEN NOT flag_sector THEN stock_vs_sector_20d END AS stock_vs_sector_20d FROM fingerprint_wide")

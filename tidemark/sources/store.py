@@ -28,13 +28,19 @@ def write(df: DataFrame, path: str, manifest: dict) -> None:
     fs, p = _file(spark, f"{path}/manifest.json")
     fs.delete(p, False)
     df.withColumn("year", F.year("trade_date")).repartition("year").sortWithinPartitions("symbol", "trade_date").write.mode("overwrite").partitionBy("year").parquet(f"{path}/values")
-    stored = spark.read.parquet(f"{path}/values")
-    check = stored.agg(F.count(F.lit(1)).alias("rows"), F.sum(F.xxhash64("symbol", "trade_date").cast("decimal(38,0)")).cast("string").alias("keys")).first()
+    check = _check(spark.read.parquet(f"{path}/values"))
     out = fs.create(p, True)
-    out.write(bytearray(json.dumps(manifest | {"rows": check["rows"], "keys": check["keys"]}, sort_keys=True).encode()))
+    out.write(bytearray(json.dumps(manifest | check, sort_keys=True).encode()))
     out.close()
 
 
+def _check(stored: DataFrame) -> dict:
+    """Number of rows and an order-free sum over all values of all columns."""
+    names = sorted(stored.columns)
+    r = stored.agg(F.count(F.lit(1)).alias("rows"), F.sum(F.xxhash64(*names).cast("decimal(38,0)")).cast("string").alias("values")).first()
+    return {"columns": names, "rows": r["rows"], "values": r["values"]}
+
+
 def read_manifest(spark: SparkSession, path: str) -> dict:
     fs, p = _file(spark, f"{path}/manifest.json")
     if not fs.exists(p):
@@ -49,8 +55,8 @@ def load(spark: SparkSession, path: str, expect: dict, columns: list[str] | None
         if manifest.get(k) != v:
             raise StaleStore(f"{path}: {k} is {manifest.get(k)!r}, not {v!r}")
     df = spark.read.parquet(f"{path}/values")
-    if df.count() != manifest["rows"]:
-        raise StaleStore(f"{path}: rows differ from the manifest")
+    if _check(df) != {k: manifest.get(k) for k in ("columns", "rows", "values")}:
+        raise StaleStore(f"{path}: what is stored differs from the manifest")
     if start is not None:
         df = df.where((F.col("year") >= start.year) & (F.col("trade_date") >= F.lit(start)))
     if end is not None:
@@ -59,13 +65,3 @@ def load(spark: SparkSession, path: str, expect: dict, columns: list[str] | None
         need = [*columns, *[f for c, f in (flags or {}).items() if c in columns and f not in columns]]
         df = df.select("symbol", "trade_date", *need)
     return df.drop("year")
-
-
-def read_csv(spark: SparkSession, path: str) -> DataFrame:
-    """Text bars with ``<Header>`` names, a byte-order mark and ``YYYYMMDD`` dates."""
-    df = spark.read.option("header", True).option("encoding", "UTF-8").csv(path)
-    df = df.toDF(*[c.lstrip("﻿").strip().strip("<>").lower() for c in df.columns])
-    if "ticker" in df.columns:
-        df = df.withColumn("ticker", F.upper(F.trim("ticker"))).where(F.col("ticker").rlike("^[A-Z]{3}$"))
-    dates = [c for c in df.columns if c.startswith("dtyyyymmdd") or c == "date"]
-    return df.withColumns({c: F.to_date(c, "yyyyMMdd") for c in dates})

@@ -18,24 +18,27 @@ def first_rows(rows: DataFrame, order: list) -> DataFrame:
     return rows.withColumn("_nth", nth).where("_nth = 1").drop("_nth")
 
 
-def append_absent(batch: DataFrame, target: str) -> None:
-    """Insert rows whose key is not in ``target`` yet; only the years of the batch are read."""
+def append_absent(batch: DataFrame, batch_id: int, target: str) -> None:
+    """Insert rows whose key no earlier batch holds; a batch that is retried replaces what it wrote itself.
+
+    Each batch has a folder, which counts once it is finished; only the years of the batch are read of the others.
+    """
     spark = batch.sparkSession
     fresh = first_rows(batch, [F.col(c) for c in sorted(batch.columns)]).withColumn("year", F.year("trade_date"))
-    try:
+    marks = spark._jvm.org.apache.hadoop.fs.Path(f"{target}/batch=*/_SUCCESS")
+    done = [s.getPath().getParent() for s in marks.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(marks) or []]
+    earlier = [p.toString() for p in done if p.getName() != f"batch={batch_id}"]
+    if earlier:
         years = [r["year"] for r in fresh.select("year").distinct().collect()]
-        known = spark.read.parquet(target).where(F.col("year").isin(years)).select(*KEYS)
+        known = spark.read.option("basePath", target).schema(fresh.schema).parquet(*earlier).where(F.col("year").isin(years)).select(*KEYS)
         fresh = fresh.join(known, list(KEYS), "left_anti")
-    except Exception as e:  # the first increment has no target
-        if "PATH_NOT_FOUND" not in str(e):
-            raise
-    fresh.write.mode("append").partitionBy("year").parquet(target)
+    fresh.write.mode("overwrite").partitionBy("year").parquet(f"{target}/batch={batch_id}")
 
 
 def nightly(spark: SparkSession, source: str, schema: StructType, target: str, checkpoint: str) -> StreamingQuery:
     """Take everything that is new under ``source`` and stop; restarts continue where the checkpoint stands."""
     stream = spark.readStream.schema(schema).parquet(source)
-    return stream.writeStream.foreachBatch(lambda batch, _: append_absent(batch, target)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    return stream.writeStream.foreachBatch(lambda batch, n: append_absent(batch, n, target)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def status(last_known, newest, today, tolerance_days: int = 2) -> str:
