@@ -10,7 +10,7 @@ from tidemark.functions import rules
 from tidemark.operators.measures import MEASURES
 
 SF = "/root/testdata/sf0.001"
-SOME = ["bars_ohlcv", "exchange_in_force", "limit_prices", "measures_volume", "measures_candles", "breadth_counts", "outcomes_k3", "gate_reasons", "promotion", "reconcile_close"]
+SOME = ["bars_ohlcv", "exchange_in_force", "limit_prices", "measures_volume", "measures_candles", "measures_levels", "breadth_counts", "stock_vs_sector", "outcomes_k3", "gate_reasons", "hypothesis_stats", "bh_verdict", "holdout_verdict", "walk_forward", "drawdown", "max_open", "look_alikes", "evidence_chosen", "scan_rank", "ledger_summary", "promotion", "reconcile_close"]
 
 
 def plain(rows):
@@ -30,7 +30,7 @@ def test_twin(spark, name):
 
 
 def test_every_query_has_a_twin():
-    assert set(catalog.QUERIES) == set(catalog.ORACLE_SQL)
+    assert set(catalog.QUERIES) - set(catalog.ORACLE_SQL) == {"bootstrap_p"}  # SQL cannot draw
     assert len(MEASURES) == 43
 
 

@@ -8,6 +8,7 @@ DuckDB text.  Unused columns and relations never reach the scan: Catalyst prunes
 from __future__ import annotations
 
 import re
+import uuid
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -100,3 +101,20 @@ def spark_sql(name: str, sf_dir: str, spark: SparkSession | None = None) -> str:
 
 def spark_frame(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.sql(spark_sql(name, sf_dir, spark))
+
+
+def frame_on(spark: SparkSession, name: str, given: dict[str, DataFrame]) -> DataFrame:
+    """Any relation on rows of one's own: ``given`` holds DataFrames that take the place of relations or tables."""
+    names = [n for n in _chain(name, set(given))]
+    missing = set(_tables([n for n in names if n not in given])) - set(given)
+    if missing:
+        raise ValueError(f"{name} reads {', '.join(sorted(missing))} beyond what is given")
+    views = {n: f"given_{uuid.uuid4().hex}" for n in given}
+    for n, df in given.items():
+        df.createOrReplaceTempView(views[n])
+    parts = [f"{n} AS (SELECT * FROM {v})" for n, v in views.items()]
+    parts += [f"{n} AS ({_spell(REGISTRY[n].sql, SPARK)})" for n in names if n not in given]
+    out = spark.sql("WITH " + ",\n".join(parts) + f"\nSELECT * FROM {name}")
+    for v in views.values():
+        spark.catalog.dropTempView(v)
+    return out
