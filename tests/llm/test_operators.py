@@ -203,7 +203,7 @@ def test_pieces_equal_the_library():
 
     import public_tokenizers
 
-    known = rans.Pieces(public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN)
+    known = rans.Pieces(public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN, 1 << 16)
     rng = random.Random(3)
     texts = ["".join(rng.choice("ab 'é,.1\n\tªsß日🙂²") for _ in range(rng.randint(0, 40))) for _ in range(3000)]
     texts += ["it's 12,5 we'll 'tis", "don't,", "word'", " lead", "trail ", "a\tb c", "x <|endoftext|> y", "q" * 5000]

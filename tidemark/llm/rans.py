@@ -30,8 +30,8 @@ from .common import REMEMBERED, arrow_schema, discard, materialize, new_path, pa
 
 SCALE, LANES, BLOCK, EVERY = 20, 2048, 1 << 18, 32
 MAGIC = b"TMRANS2\0"
-#: Characters that are encoded at once.
-SOME = 4 << 20
+#: Bytes that a worker may remember pieces in, and characters that it encodes at once.
+MEMORY, SOME = 224 << 20, 8 << 20
 _U32, _LOW = np.uint64(32), np.uint64(1 << 31)
 
 
@@ -176,10 +176,10 @@ class Pieces(dict):
     Texts that hold an added token are encoded as they are.
     """
 
-    #: Bytes that the memory may take in a worker, and what an entry takes beside its text and ids.
-    LIMIT, ENTRY = 64 << 20, 200
+    #: Bytes that an entry takes beside its text and ids.
+    ENTRY = 200
 
-    def __init__(self, path: str, pattern: str):
+    def __init__(self, path: str, pattern: str, limit: int):
         import regex
         from tokenizers import Tokenizer
 
@@ -188,7 +188,9 @@ class Pieces(dict):
         self.double, self.split = re.compile(r"\s\s"), regex.compile(pattern).findall
         self.kind = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
         self.code = "H" if self.kind.itemsize == 2 else "I"
-        self.held = 0
+        self.packers = [struct.Struct(f"<{n}{self.code}").pack for n in range(32)]
+        self.tokenize = self.tokenizer.model.tokenize
+        self.held, self.limit = 0, limit
         self.once = bytearray(1 << 23)
         self.led: dict[str, bytes] = {}  # the pieces that a space leads, without it
         # the printable stand-ins of bytes in byte-level vocabularies
@@ -203,11 +205,11 @@ class Pieces(dict):
         return self._keep(self.led, word, self._piece(" " + word))
 
     def _keep(self, where: dict[str, bytes], piece: str, got: bytes) -> bytes:
-        """Remembers what is asked for twice; most distinct words never are."""
+        """Remembers all until half of the memory is full, then what is asked for twice; most distinct words never are."""
         at = hash(piece) & 0x7FFFFF
-        if not self.once[at]:
+        if not self.once[at] and 2 * self.held > self.limit:
             self.once[at] = 1
-        elif self.held < self.LIMIT:
+        elif self.held < self.limit:
             self.held += self.ENTRY + len(piece) + len(got)
             where[piece] = got
         return got
@@ -219,14 +221,15 @@ class Pieces(dict):
                 shown = piece if word is piece else self.stand[32] + word
             else:
                 shown = "".join([self.stand[b] for b in piece.encode()])
-            return self.pack([t.id for t in self.tokenizer.model.tokenize(shown)])
+            return self.pack([t.id for t in self.tokenize(shown)])
         stem = word.rstrip(".,;:!?)")
         if stem.isalpha():
             return (self[stem] if piece is word else self.led.get(stem) or self.after_space(stem)) + self[word[len(stem) :]]
         return self.whole(piece)
 
     def pack(self, ids: list[int]) -> bytes:
-        return struct.pack(f"<{len(ids)}{self.code}", *ids)
+        n = len(ids)
+        return self.packers[n](*ids) if n < 32 else struct.pack(f"<{n}{self.code}", *ids)
 
     def whole(self, text: str) -> bytes:
         return self.pack(self.tokenizer.encode(text, add_special_tokens=False).ids)
@@ -278,9 +281,9 @@ class Pieces(dict):
 
 
 @lru_cache(maxsize=1)
-def pieces(path: str, pattern: str) -> Pieces:
+def pieces(path: str, pattern: str, limit: int) -> Pieces:
     """A worker keeps its memory from task to task."""
-    return Pieces(path, pattern)
+    return Pieces(path, pattern, limit)
 
 
 REMEMBERED["rans"] = pieces.cache_clear
@@ -291,7 +294,7 @@ def _ordered(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return rows.repartitionByRange(partitions(docs.sparkSession), F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
 
 
-def tokenize(docs: DataFrame, path: str, pattern: str, end_id: int | None = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def tokenize(docs: DataFrame, path: str, pattern: str, end_id: int | None = 2, id_col: str = "doc_id", text_col: str = "text", memory: int = MEMORY, some: int = SOME) -> DataFrame:
     """``at, doc_id, ids, counts`` in ascending order of the id: ``at`` orders rows, ids are packed in 16 or 32 bits.
 
     The last row of each task has no ``at``; its ``counts`` are pairs of an id and how often the task met it.
@@ -302,7 +305,7 @@ def tokenize(docs: DataFrame, path: str, pattern: str, end_id: int | None = 2, i
 
     def run(batches):
         take_turn("rans")
-        known = pieces(path, pattern)
+        known = pieces(path, pattern, memory)
         tail = np.array([] if end_id is None else [end_id], known.kind)
         counts = np.zeros(1 << 16, np.int64)
         rows: list[tuple] = []
@@ -321,7 +324,7 @@ def tokenize(docs: DataFrame, path: str, pattern: str, end_id: int | None = 2, i
             for at, doc, text in zip(*[c.to_pylist() for c in batch.columns], strict=True):
                 rows.append((at, doc, text or ""))
                 held += len(text or "")
-                if held >= SOME:
+                if held >= some:
                     yield flush()
                     rows, held = [], 0
         if rows:
@@ -408,14 +411,17 @@ def read_blocks(spark, path: str, table: Table) -> DataFrame:
     return rows.join(starts, F.col("first") == F.col("_first")).select("doc_id", (F.col("before_total") + F.col("inner_start")).alias("start"), "n_tokens", "ids_crc32")
 
 
-def token_files(docs: DataFrame, vocabulary: str = "byte_bpe_50k.json", end_id: int = 2, path: str | None = None) -> DataFrame:
-    """Tokenise, write the files (to ``path``, else in the shared folder) and read them back."""
+def token_files(docs: DataFrame, vocabulary: str = "byte_bpe_50k.json", end_id: int = 2, path: str | None = None, memory: int = MEMORY, some: int = SOME) -> DataFrame:
+    """Tokenise, write the files (to ``path``, else in the shared folder) and read them back.
+
+    ``memory`` and ``some`` bound what a worker holds: remembered pieces, and characters encoded at once.
+    """
     import public_tokenizers
 
     spark = docs.sparkSession
-    tokens = materialize(tokenize(docs, public_tokenizers.path(vocabulary), public_tokenizers.PATTERN, end_id), "tokens")
+    tokens = materialize(tokenize(docs, public_tokenizers.path(vocabulary), public_tokenizers.PATTERN, end_id, memory=memory, some=some), "tokens")
     table = frequencies(tokens)
     path = path or new_path(spark, "rans")
-    write_blocks(tokens, table, path, pieces(public_tokenizers.path(vocabulary), public_tokenizers.PATTERN).kind)
+    write_blocks(tokens, table, path, Pieces(public_tokenizers.path(vocabulary), public_tokenizers.PATTERN, 0).kind)
     discard(tokens)
     return read_blocks(spark, path, table)
