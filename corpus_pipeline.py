@@ -16,6 +16,8 @@ from tidemark.llm.common import materialize, partitions
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 #: Documents whose language covers less of their letters than this are rejected.
 LEAST_SCORE = 0.5
+#: What a token worker may hold beside the other stages: bytes of remembered pieces, characters encoded at once.
+MEMORY, SOME = 64 << 20, 4 << 20
 
 
 def _documents(docs: DataFrame) -> DataFrame:
@@ -64,7 +66,7 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def token_files(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every row as token ids in encoded blocks, read back: doc_id, start, n_tokens, ids_crc32."""
-    return rans.token_files(docs)
+    return rans.token_files(docs, memory=MEMORY, some=SOME)
 
 
 STAGES = [
