@@ -215,7 +215,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, least: float = LEAST, id
 
     def search(seeds: _Seeds) -> DataFrame:
         def run(batches):
-            take_turn()
+            take_turn("decontaminate")
             for batch in batches:
                 ids = batch.column(0)
                 rows = [(ids[d].as_py(), seeds.ids[i], *found) for d, i, *found in _hits(seeds, batch.column(1), least)]
@@ -238,7 +238,7 @@ def clean(docs: DataFrame, benchmark: DataFrame, least: float = LEAST, text_col:
 
     def keep(docs: DataFrame, seeds: _Seeds) -> DataFrame:
         def run(batches):
-            take_turn()
+            take_turn("decontaminate")
             for batch in batches:
                 mask = np.ones(batch.num_rows, bool)
                 for d, *_ in _hits(seeds, batch.column(at), least):

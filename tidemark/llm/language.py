@@ -145,7 +145,7 @@ def train(docs: DataFrame, max_train: int = MAX_TRAIN) -> Model | None:
     arrow = arrow_schema(schema)
 
     def run(batches):
-        take_turn()
+        take_turn("language")
         grams, scripts = np.zeros((len(names), BUCKETS)), np.zeros((len(names), len(SCRIPTS)))
         index = {x: i for i, x in enumerate(names)}
         for batch in batches:
@@ -175,7 +175,7 @@ def identify(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_
     small_batches(docs.sparkSession)
 
     def run(batches):
-        take_turn()
+        take_turn("language")
         for batch in batches:
             preds, scores, listed = [], [], []
             data, off = text_buffers(batch.column(1))

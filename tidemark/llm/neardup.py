@@ -83,7 +83,7 @@ def _signatures(docs: DataFrame, n: int) -> DataFrame:
     arrow = arrow_schema(schema)
 
     def run(batches):
-        take_turn()
+        take_turn("neardup")
         for batch in batches:
             rows = [(*_sums(found), signature(found).view(np.int32) if len(found) else None) for found in shingle_sets(batch.column(1), n)]
             cols = list(zip(*rows, strict=True)) if rows else [[]] * 4
@@ -97,7 +97,7 @@ def _full_sets(docs: DataFrame, n: int) -> DataFrame:
     arrow = arrow_schema(schema)
 
     def run(batches):
-        take_turn()
+        take_turn("neardup")
         for batch in batches:
             ids, rows, held = batch.column(0).to_pylist(), [], 0
 

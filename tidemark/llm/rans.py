@@ -191,7 +191,6 @@ class Pieces(dict):
         self.packers = [struct.Struct(f"<{n}{self.code}").pack for n in range(32)]
         self.tokenize = self.tokenizer.model.tokenize
         self.held, self.limit = 0, limit
-        self.once = bytearray(1 << 23)
         self.led: dict[str, bytes] = {}  # the pieces that a space leads, without it
         # the printable stand-ins of bytes in byte-level vocabularies
         shown = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]
@@ -205,11 +204,7 @@ class Pieces(dict):
         return self._keep(self.led, word, self._piece(" " + word))
 
     def _keep(self, where: dict[str, bytes], piece: str, got: bytes) -> bytes:
-        """Remembers all until half of the memory is full, then what is asked for twice; most distinct words never are."""
-        at = hash(piece) & 0x7FFFFF
-        if not self.once[at] and 2 * self.held > self.limit:
-            self.once[at] = 1
-        elif self.held < self.limit:
+        if self.held < self.limit:
             self.held += self.ENTRY + len(piece) + len(got)
             where[piece] = got
         return got
@@ -343,7 +338,7 @@ def frequencies(tokens: DataFrame) -> Table:
     arrow = arrow_schema(schema)
 
     def run(batches):
-        take_turn()
+        take_turn("blocks")
         for batch in batches:
             for raw in batch.column(0).to_pylist():
                 pairs = np.frombuffer(raw, "<i8").reshape(-1, 2)
@@ -359,7 +354,7 @@ def write_blocks(tokens: DataFrame, table: Table, path: str, kind: np.dtype) ->
     arrow = arrow_schema(schema)
 
     def run(batches):
-        take_turn()
+        take_turn("blocks")
         ats: list[int] = []
         docs: list[int] = []
         ids: list[np.ndarray] = []
@@ -396,7 +391,7 @@ def read_blocks(spark, path: str, table: Table) -> DataFrame:
     arrow = arrow_schema(schema)
 
     def run(batches):
-        take_turn()
+        take_turn("blocks")
         for batch in batches:
             for first, raw in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 docs, lengths, ids = decode_block(table, raw.as_py())

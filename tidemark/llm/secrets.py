@@ -159,7 +159,7 @@ def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     arrow, compiled = arrow_schema(schema), scanner(rules)
 
     def scan(batches):
-        take_turn()
+        take_turn("secrets")
         finder = compiled.link()
         for batch in batches:
             data, off = text_buffers(batch.column(1))

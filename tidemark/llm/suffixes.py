@@ -120,7 +120,7 @@ def _segment_rows(rows: DataFrame, length: int, shift: int) -> DataFrame:
     arrow = arrow_schema(schema)
 
     def run(batches):
-        take_turn()
+        take_turn("suffixes")
         for batch in batches:
             keys = batch.column(0).to_pylist()
             spans = batch.column(2).to_pylist() if cut else None
@@ -167,7 +167,7 @@ def _pairs(rows: DataFrame, length: int, shift: int) -> DataFrame:
     lengths = _prefixes(length)
 
     def run(batches):
-        take_turn()
+        take_turn("suffixes")
         for batch in batches:
             keys, spans = batch.column(0).to_pylist(), batch.column(2).to_pylist()
             for i, data in _texts(batch, 1):
@@ -203,7 +203,7 @@ def _cut(rows: DataFrame, length: int) -> DataFrame:
     arrow = arrow_schema(schema)
 
     def run(batches):
-        take_turn()
+        take_turn("suffixes")
         for batch in batches:
             spans, out = batch.column(2).to_pylist(), []
             for i, data in _texts(batch, 1):

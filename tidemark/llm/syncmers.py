@@ -129,7 +129,7 @@ def fingerprint_pairs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     small_batches(docs.sparkSession)
 
     def run(batches):
-        take_turn()
+        take_turn("syncmers")
         out: list[tuple] = []
         size = 0
         held = None  # (part, id, text, anchors) that waits for the document after it
