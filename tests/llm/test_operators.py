@@ -188,7 +188,7 @@ def test_rans_round_trip():
 
 
 def test_rans_decodes_from_each_checkpoint():
-    ids = np.random.default_rng(6).integers(0, 300, 600_000).astype(np.uint32)
+    ids = np.random.default_rng(6).integers(0, 300, 1_200_000).astype(np.uint32)
     table = rans.Table(*(x.tolist() for x in np.unique(ids, return_counts=True)))
     block = rans.Block(table, rans.encode_block(table, [1], np.array([len(ids)], np.uint32), ids))
     assert len(block.begins) > 3

@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from .common import REMEMBERED, arrow_schema, discard, materialize, new_path, partitions, running_totals, small_batches, take_turn
 
-SCALE, LANES, BLOCK, EVERY = 20, 2048, 1 << 18, 32
+SCALE, LANES, BLOCK, EVERY = 20, 8192, 1 << 19, 32
 MAGIC = b"TMRANS2\0"
 #: Bytes that a worker may remember pieces in, and characters that it encodes at once.
 MEMORY, SOME = 224 << 20, 8 << 20
@@ -231,6 +231,8 @@ class Pieces(dict):
 
     def doubled(self, text: str) -> bool:
         """Whether white space follows white space; of printable characters, only the space is white."""
+        if text.isascii():
+            return "  " in text or any(c in text for c in "\t\n\v\f\r\x1c\x1d\x1e\x1f") and self.double.search(text) is not None
         return "  " in text if text.isprintable() else self.double.search(text) is not None
 
     def spaced(self, text: str) -> bool:
@@ -301,7 +303,7 @@ def tokenize(docs: DataFrame, path: str, pattern: str, end_id: int | None = 2, i
     def run(batches):
         take_turn("rans")
         known = pieces(path, pattern, memory)
-        tail = np.array([] if end_id is None else [end_id], known.kind)
+        tail = b"" if end_id is None else known.pack([end_id])
         counts = np.zeros(1 << 16, np.int64)
         rows: list[tuple] = []
         held = 0
@@ -309,10 +311,12 @@ def tokenize(docs: DataFrame, path: str, pattern: str, end_id: int | None = 2, i
         def flush():
             nonlocal counts
             ats, docs, texts = zip(*rows, strict=True)
-            ids = [np.append(x, tail) for x in known.encode_all(texts)]
+            ids = known.encode_all(texts)
             got = np.bincount(np.concatenate(ids), minlength=len(counts))
+            if end_id is not None:
+                got[end_id] += len(ids)
             counts = got + np.pad(counts, (0, len(got) - len(counts)))
-            cols = ats, docs, [x.tobytes() for x in ids], [None] * len(ids)
+            cols = ats, docs, [x.tobytes() + tail for x in ids], [None] * len(ids)
             return pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(cols, arrow, strict=True)], schema=arrow)
 
         for batch in batches:
@@ -414,7 +418,7 @@ def token_files(docs: DataFrame, vocabulary: str = "byte_bpe_50k.json", end_id:
     import public_tokenizers
 
     spark = docs.sparkSession
-    tokens = materialize(tokenize(docs, public_tokenizers.path(vocabulary), public_tokenizers.PATTERN, end_id, memory=memory, some=some), "tokens")
+    tokens = materialize(tokenize(docs, public_tokenizers.path(vocabulary), public_tokenizers.PATTERN, end_id, memory=memory, some=some), "tokens", "snappy")
     table = frequencies(tokens)
     path = path or new_path(spark, "rans")
     write_blocks(tokens, table, path, Pieces(public_tokenizers.path(vocabulary), public_tokenizers.PATTERN, 0).kind)
