@@ -75,14 +75,8 @@ def small_batches(spark: SparkSession, rows: int = 1000) -> None:
 REMEMBERED: dict[str, Callable[[], None]] = {}
 
 
-_TURN = ["none yet"]
-
-
-def take_turn(operator: str = "") -> None:
-    """At the start of a task in a worker: if another operator had it before, drop what is remembered there and return freed memory."""
-    if _TURN[0] == operator:
-        return
-    _TURN[0] = operator
+def take_turn(operator: str) -> None:
+    """At the start of a task in a worker: drop what other operators remember there, and return freed memory."""
     for name, drop in REMEMBERED.items():
         if name != operator:
             drop()
