@@ -17,7 +17,7 @@ COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 #: Documents whose language covers less of their letters than this are rejected.
 LEAST_SCORE = 0.5
 #: What a token worker may hold beside the other stages: bytes of remembered pieces, characters encoded at once.
-MEMORY, SOME = 64 << 20, 4 << 20
+MEMORY, SOME = 32 << 20, 2 << 20
 
 
 def _documents(docs: DataFrame) -> DataFrame:
